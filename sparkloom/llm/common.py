@@ -121,7 +121,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def pieces(batches, max_bytes: int = 4 << 20, text: str = "text"):
+def pieces(batches, max_bytes: int = 1 << 20, text: str = "text"):
     """Splits Arrow batches by rows so that texts of about max_bytes are worked on at once (a longer text comes alone)."""
     for batch in batches:
         if not batch.num_rows:

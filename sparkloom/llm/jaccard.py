@@ -73,7 +73,7 @@ def frequent(docs: DataFrame, words: int, share: int) -> np.ndarray:
             v, _ = shingle_sets(batch.column(0), words)
             docs_seen += batch.num_rows
             parts.append(v)
-            if sum(map(len, parts)) > 1 << 21:
+            if sum(map(len, parts)) > 1 << 19:
                 values, counts = _merge(values, counts, parts)
                 parts = []
                 least = docs_seen // (4 * share)  # as in lossy counting, what is rare so far may go
