@@ -23,3 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     to = shared_dir(spark)
     df.write.parquet(to)
     return spark.read.schema(df.schema).parquet(to)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files that df, a result of cut(), reads; only once nothing is left to be computed from it."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
