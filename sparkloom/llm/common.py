@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.checkpoint import cut, shared_dir  # noqa: F401
+from ..operators.checkpoint import cut, forget, shared_dir  # noqa: F401
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Words, cut, mix, pieces
+from .common import Words, cut, forget, mix, pieces
 
 _STEPS = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
@@ -129,19 +129,43 @@ def _signatures(hot, words: int, percent: int):
     return run
 
 
-def _sets(words: int):
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap that has a bit for the hash of each id, and few others. Its size is bounded by 2**27 bits; beyond, it only lets more through."""
+    count = ids.count()
+    bits = min(27, max(16, (16 * count).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1  # these functions count from 1
+    rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("b"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        at = (r.k - 1) * 4096
+        out[at : at + 4096] |= np.frombuffer(r.b, np.uint8)[: len(out) - at]
+    return out
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and set of just these ids, made again from the texts. All texts are read, but a bitmap of ids spares their shuffle."""
+    ids = cut(ids.distinct())
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+
     def run(batches):
-        for batch in pieces(batches):
-            values, first = shingle_sets(batch.column(1), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], ["doc_id", "set"])
+        seen = marks.value
+        for batch in pieces(batches, text="text"):
+            slot = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(seen[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
+            if batch.num_rows:
+                values, first = shingle_sets(batch.column(1), words)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], ["doc_id", "set"])
 
-    return run
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(marks.value)))
+    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, set array<long>").join(ids, "doc_id", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those whose sets overlap enough; sets are made again from the texts of just these."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, set array<long>"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b), those whose sets overlap enough."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
@@ -186,23 +210,41 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, share: int = 400
         leaders = now.groupBy("s").agg(pick.alias("p")).select("s", F.col("p.doc_id").alias("b"), F.col("p.n").alias("m"), F.col("p.g").alias("h"))
         pairs = now.join(leaders, "s").where("g <> h").where(_sizes_fit("n", "m", percent)).groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
         pairs = cut(pairs.where(_bound(F.col("c"), F.col("n"), F.col("m"), percent)).select("a", "b"))
-        found = cut(_verified(pairs, docs, words, percent))
+        sets = cut(_sets(docs, _ends(pairs), words))
+        found = cut(_verified(pairs, sets, percent))
+        forget(sets)
         links = found if links is None else links.unionByName(found)
         groups = cut(components(links, "a", "b"))
 
     # the rest, exactly: a document against each other group of like size that shares an indexed shingle with it
-    now = cut(_labelled(posts, groups).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).cast("long")))
-    matrix = now.groupBy("s", "g", "band").agg(F.count("*").alias("members"))
-    extent = now.groupBy("g", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    fits = (100 * F.col("hi") >= percent * F.col("n")) & (percent * F.col("lo") <= 100 * F.col("n"))
-    met = now.select("s", "doc_id", "n", F.col("g").alias("own"), F.col("band").alias("own_band")).join(matrix, "s").where("own < g").where(F.abs(F.col("band") - F.col("own_band")) <= 4)
-    met = met.groupBy("doc_id", "n", "g", "band").agg(F.count("*").alias("c")).join(extent, ["g", "band"]).where(fits)
+    now = _labelled(posts, groups).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).cast("long"))
+    whole = groups.groupBy(F.col("component").alias("g")).agg(F.count("*").alias("whole"))
+    now = cut(now.join(whole, "g", "left").fillna(1, ["whole"]))
+    members = now.select("g", "whole", "band", "doc_id", "n").distinct()
+    matrix = now.select("s", "g", "whole", "band").distinct()
+    extent = members.groupBy("g", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    asks = now.select("s", "doc_id", "n", F.col("g").alias("own"), F.col("whole").alias("own_whole"), F.col("band").alias("own_band"))
+    # of two groups the smaller one asks
+    met = asks.join(matrix, "s").where("struct(own_whole, own) < struct(whole, g)").where(F.abs(F.col("band") - F.col("own_band")) <= 4)
+    met = met.groupBy("doc_id", "n", "g", "whole", "band").agg(F.count("*").alias("c")).join(extent, ["g", "band"])
+    met = met.where((100 * F.col("hi") >= percent * F.col("n")) & (percent * F.col("lo") <= 100 * F.col("n")))
     least = F.greatest(F.col("lo"), F.ceil(percent * F.col("n") / 100))
+    enough = lambda c: c * (100 + percent) >= percent * (F.col("n") + least)
     rest = F.greatest(F.ceil(percent * F.col("n") / 100), F.ceil(percent * F.col("hi") / 100)) - 1
-    open_ = met.where((F.col("c") + F.least(rest, "n")) * (100 + percent) >= percent * (F.col("n") + least)).select(F.col("doc_id").alias("a"), F.col("n").alias("an"), "g", "band")
-    members = now.select("g", "band", F.col("doc_id").alias("b"), F.col("n").alias("m")).distinct()
-    pairs = cut(open_.join(members, ["g", "band"]).where(_sizes_fit("an", "m", percent)).select("a", "b").distinct())
-    links = links.unionByName(_verified(pairs, docs, words, percent))
+    met = cut(met.where(enough(F.col("c") + F.least(rest, "n"))).select("doc_id", "n", "g", "whole", "band", "lo"))
+    # a group of several opens only if the union of its members' whole sets has enough of the document
+    many = met.where("whole > 1")
+    inside = members.join(met.select("g", "band").distinct(), ["g", "band"], "left_semi")
+    sets = cut(_sets(docs, met.select("doc_id").unionByName(inside.select("doc_id")), words))
+    union = inside.where("whole > 1").join(sets, "doc_id").select("g", "band", F.explode("set").alias("s")).distinct()
+    asked = many.join(sets, "doc_id").select("doc_id", "n", "g", "band", "lo", F.explode("set").alias("s"))
+    open_ = asked.join(union, ["g", "band", "s"]).groupBy("doc_id", "n", "g", "band", "lo").agg(F.count("*").alias("c")).where(enough(F.col("c"))).select("doc_id", "n", "g", "band")
+    open_ = open_.unionByName(met.where("whole = 1").select("doc_id", "n", "g", "band"))
+    pairs = open_.join(members.select("g", "band", F.col("doc_id").alias("b"), F.col("n").alias("m")), ["g", "band"])
+    pairs = cut(pairs.where(_sizes_fit("n", "m", percent)).select(F.col("doc_id").alias("a"), "b").distinct())
+    found = cut(_verified(pairs, sets, percent))
+    forget(sets)
+    links = links.unionByName(found)
     groups = cut(components(links, "a", "b"))
 
     classes = reps.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
