@@ -22,6 +22,7 @@ from .common import Words, cut, mix, pieces
 FEATURES = 6
 ENDINGS = 2048  # hashed endings of up to 3 bytes; the last is the end token's own
 NEIGHBOURS = 128
+_SALT = mix(np.arange(1, FEATURES + 1, dtype=np.uint64))
 _END, _START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A4757A4757A475)
 
 
@@ -56,7 +57,7 @@ class Tokens:
         c1, c2, c3 = (self.before(c, k, np.uint64(len(classes)))[pick] for k in (1, 2, 3))
         b = np.uint64(1 << 20)
         raw = (w1, w1 * np.uint64(31) + mix(w2), w2, w3, c1 * b + c2, c2 * b + c3 + np.uint64(1 << 50))
-        return np.stack([mix(x + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits) for k, x in enumerate(raw)], 1).astype(np.int64)
+        return np.stack([mix(x + _SALT[k]) >> np.uint64(64 - bits) for k, x in enumerate(raw)], 1).astype(np.int64)
 
 
 def _classes(neighbours: np.ndarray, levels: int) -> np.ndarray:
