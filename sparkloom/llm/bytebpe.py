@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import arrow_map, pieces
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -156,4 +156,4 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> D
                 columns = [first, pa.array(ids, pa.binary()), pa.array(back, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, schema)
+    return arrow_map(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text"), run, schema)

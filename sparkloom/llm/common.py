@@ -121,7 +121,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def pieces(batches, max_bytes: int = 1 << 20, text: str = "text"):
+def pieces(batches, max_bytes: int = 1 << 19, text: str = "text"):
     """Splits Arrow batches by rows so that texts of about max_bytes are worked on at once (a longer text comes alone)."""
     for batch in batches:
         if not batch.num_rows:
@@ -137,3 +137,14 @@ def pieces(batches, max_bytes: int = 1 << 20, text: str = "text"):
             yield batch.slice(begin, end - begin)
             begin = end
 
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in batches of few rows, so that long texts take little memory at once.
+
+    Where the session still has Spark's default of 10000 rows in an Arrow batch, it is lowered to 500 from here on.
+    """
+    spark = df.sparkSession
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, "500")
+    return df.mapInArrow(function, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Words, cut, forget, mix, pieces
+from .common import arrow_map, cut, forget, mix, pieces, Words
 
 _STEPS = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
@@ -67,23 +67,25 @@ def frequent(docs: DataFrame, words: int, share: int) -> np.ndarray:
     """
 
     def heavy(batches):
-        parts, docs_seen = [], 0
+        parts, docs_seen, waiting = [], 0, 0
         values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in pieces(batches):
             v, _ = shingle_sets(batch.column(0), words)
             docs_seen += batch.num_rows
             parts.append(v)
-            if sum(map(len, parts)) > 1 << 19:
+            waiting += len(v)
+            if waiting > 1 << 19:
                 values, counts = _merge(values, counts, parts)
-                parts = []
-                least = docs_seen // (4 * share)  # as in lossy counting, what is rare so far may go
-                values, counts = values[counts > least], counts[counts > least]
+                parts, waiting = [], 0
+                if len(values) > 1 << 20:  # as in lossy counting, what is rare so far may go
+                    keep = counts > 1 + docs_seen // (4 * share)
+                    values, counts = values[keep], counts[keep]
         values, counts = _merge(values, counts, parts)
         keep = counts >= max(2, docs_seen // (2 * share))
         table = pa.table({"s": values[keep].view(np.int64), "n": counts[keep]})
         yield from table.to_batches(max_chunksize=50_000)
 
-    found = docs.select("text").mapInArrow(heavy, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    found = arrow_map(docs.select("text"), heavy, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     total = docs.count()
     # its size is bounded: sets hold total * (mean size) shingles, and each of these takes total / (2 * share) of them
     rows = found.where(F.col("n") >= max(3, total // (2 * share))).toArrow()
@@ -157,7 +159,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], ["doc_id", "set"])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(marks.value)))
-    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, set array<long>").join(ids, "doc_id", "left_semi")
+    return arrow_map(docs.select("doc_id", "text", slot.alias("slot")), run, "doc_id long, set array<long>").join(ids, "doc_id", "left_semi")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, share: int = 400
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     hot = spark.sparkContext.broadcast(frequent(docs, words, share))
-    sig = cut(docs.mapInArrow(_signatures(hot, words, percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>"))
+    sig = cut(arrow_map(docs, _signatures(hot, words, percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>"))
     reps = sig.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     one_each = sig.where("n > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     posts = one_each.select("doc_id", "n", F.explode("prefix").alias("s"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, held_out, pieces, utf8
+from .common import arrow_map, held_out, _LOWER, pieces, utf8
 
 SIZE = 4  # bytes of an n-gram
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, sample: int = 12_000, least: int = 3, relative: float =
                 u, n = np.unique(codes[rows[owner]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
-    found = part.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    found = arrow_map(part.select("lang", "text"), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rows = found.toArrow().to_pandas()  # bounded by the sample
     rows["rate"] = rows["n"] / rows.groupby("lang")["n"].transform("sum")
     rows = rows[(rows["n"] >= least) & (rows["rate"] >= relative * rows.groupby("code")["rate"].transform("max"))]
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, pred: str = "lang_pred",
             labels = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(np.where(known, share, 0.0))], [*names, pred, score])
 
-    return ask.mapInArrow(run, schema)
+    return arrow_map(ask, run, schema)
 
 
 def keep_identified(docs: DataFrame, filters: LanguageFilters, least: float = 0.3) -> DataFrame:

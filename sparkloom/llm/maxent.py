@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mix, pieces
+from .common import arrow_map, cut, mix, pieces, Words
 
 FEATURES = 6
 ENDINGS = 2048  # hashed endings of up to 3 bytes; the last is the end token's own
@@ -164,8 +164,8 @@ def _counted(docs: DataFrame):
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["cell", "n"])
 
     text = docs.select("text")
-    types = text.mapInArrow(words, "h long, e int, n long").groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("n"))
-    cells = text.mapInArrow(near, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    types = arrow_map(text, words, "h long, e int, n long").groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("n"))
+    cells = arrow_map(text, near, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     return types, cells
 
 
@@ -220,7 +220,7 @@ def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float,
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0].tobytes() for s in sums.values()], pa.binary()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["c", "used", "change"])
 
     schema = "c int, used binary, change binary"
-    found = docs.select("text").mapInArrow(learn, schema).repartition("c").mapInArrow(add, schema)
+    found = arrow_map(arrow_map(docs.select("text"), learn, schema).repartition("c"), add, schema)
     out = model.weights.copy()
     for r in found.toLocalIterator():  # one row per chunk of the table
         used = np.frombuffer(r.used, np.int64)
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: MaxEnt, types: DataFrame) -> DataFrame:
             number += rows
 
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, h array<long>, term array<float>"
-    told = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, schema))
+    told = cut(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"), run, schema))
     rare = told.select("rid", F.explode(F.arrays_zip("h", "term")).alias("x")).select("rid", F.col("x.h").alias("h"), F.col("x.term").alias("term"))
     log_count = F.log10(F.col("n") + 0.5)
     rare = rare.join(types, "h").groupBy("rid").agg(F.count("*").alias("k"), F.sum(log_count).alias("b"), F.sum(log_count + F.col("term")).alias("s"))

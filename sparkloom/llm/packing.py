@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import arrow_map, pieces
 from .wordpieces import ChunkEncoder
 
 
@@ -200,4 +200,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits | None
         take(packer.finish())
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", prompt.alias("p")).mapInArrow(run, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", prompt.alias("p")), run, SCHEMA)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import Words, held_out, pieces
+from .common import arrow_map, held_out, pieces, Words
 
 FEATURES = 3
 WIDTHS = (1, 2, 3)
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, longest: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "words"])
 
     model = ToxicityModel(bits=bits)
-    got = rows.mapInArrow(read, "doc_id long, toxic int, words binary").toArrow().sort_by("doc_id")
+    got = arrow_map(rows, read, "doc_id long, toxic int, words binary").toArrow().sort_by("doc_id")
     ids = got.column("doc_id").to_numpy()
     y = got.column("toxic").to_numpy().astype(np.int64)
     words = [np.frombuffer(x, "<u4").reshape(-1, FEATURES).astype(np.int64) for x in got.column("words").to_pylist()]
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> Data
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(at)))], [*names, name])
 
-    return docs.select(*names).mapInArrow(run, docs.select(*names).withColumn(name, F.lit(0.0)).schema)
+    return arrow_map(docs.select(*names), run, docs.select(*names).withColumn(name, F.lit(0.0)).schema)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrow_map, cut
 
 CELLS = 16
 
@@ -119,6 +119,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 1638
 
     # one pair of blocks per Arrow batch would be best; rows are few and large, so they go over one at a time
     pairs = left.join(right, ["b", "d"]).repartition(F.col("b"), F.col("q"))
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = arrow_map(pairs, run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

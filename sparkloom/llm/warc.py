@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import arrow_map, shared_dir
 
 # fixed values of the WARC 1.1 and Zstandard formats
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -198,7 +198,7 @@ def write_archives(pages: DataFrame, to: str, dictionary: bytes, level: int = 3,
             close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["uri"])
 
-    return sorted(r.uri for r in pages.select("record_id", "url", "payload", "refers_to").mapInArrow(run, "uri string").collect())
+    return sorted(r.uri for r in arrow_map(pages.select("record_id", "url", "payload", "refers_to"), run, "uri string").collect())
 
 
 def read_archives(spark: SparkSession, uris: list[str]) -> DataFrame:
@@ -226,7 +226,7 @@ def read_archives(spark: SparkSession, uris: list[str]) -> DataFrame:
                     yield _batch(rows)
 
     files = spark.createDataFrame(spark.sparkContext.parallelize([(u,) for u in uris], max(1, len(uris))), "uri string")
-    return files.mapInArrow(run, schema)
+    return arrow_map(files, run, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
