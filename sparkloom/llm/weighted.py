@@ -15,39 +15,44 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SAMPLES = 32
+SAMPLES = 24
+GROUP = 8  # samples that one row of an aggregation keeps
 _WORDS = "[\\x20\\x09-\\x0D]+"
+_LOW = 0xFFFFFFFF
 
 
-def _uniform(bits: Column, shift: int) -> Column:
-    """In (0, 1), from 32 of the 64 bits."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("double") + 0.5) * F.lit(2.0**-32)
+def _uniform(bits: Column, shift: int, width: int) -> Column:
+    """In (0, 1), from width of the 64 bits."""
+    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("double") + 0.5) * F.lit(2.0**-width)
 
 
-def sample(term: Column, log_weight: Column, number: int) -> Column:
+def sample(term: Column, log_weight: Column, number: Column) -> Column:
     """A long whose order is that of a, and whose lower 32 bits tell the sample (word, t)."""
-    one, two = F.xxhash64(term, F.lit(2 * number)), F.xxhash64(term, F.lit(2 * number + 1))
-    r = -F.log(_uniform(one, 0) * _uniform(one, 32))
-    c = -F.log(_uniform(two, 0) * _uniform(two, 32))
-    # the words' own bits, turned, are b: independent of r and c, which come from other hashes
-    b = _uniform(F.xxhash64(term, F.lit(-1 - number)), 16)
+    one, two = F.xxhash64(term, number), F.xxhash64(number, term)
+    r = -F.log(_uniform(one, 0, 32) * _uniform(one, 32, 32))
+    c = -F.log(_uniform(two, 0, 24) * _uniform(two, 24, 24))
+    b = _uniform(two, 48, 16)
     t = F.floor(log_weight / r + b)
     log_a = F.log(c) - r * (t - b + 1)
     # ln a lies within some thousands; 2**18 steps in each unit keep the order
-    return F.shiftleft(F.floor(log_a * F.lit(2.0**18)), 32) + F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return F.shiftleft(F.floor(log_a * F.lit(2.0**18)), 32) + term.bitwiseXOR(t).bitwiseAND(F.lit(_LOW).cast("long"))
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and s, an array of samples (null for a text without words). texts: keys and text; keys tell the rows apart.
+    """keys and s, an array of samples, for each text with words. texts: keys and text; keys tell the rows apart.
 
-    Where texts are already dealt by one of the keys, nothing is shuffled: words are counted and the least samples found in place.
+    Where texts are already dealt by one of the keys, nothing is shuffled: words are counted and the least samples found in
+    place. Samples are found in groups, one row each, so that generated code stays small.
     """
-    words = texts.select(*keys, F.explode_outer(F.split(F.lower("text"), _WORDS)).alias("word"))
-    words = words.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
-    counts = words.groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    weighed = counts.select(*keys, "term", F.log(F.col("n").cast("double")).alias("w"))
-    least = weighed.groupBy(*keys).agg(*(F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("w"), i))).alias(f"s{i}") for i in range(samples)))
-    return least.select(*keys, F.when(F.col("s0").isNotNull(), F.array(*(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) for i in range(samples)))).alias("s"))
+    words = texts.select(*keys, F.explode(F.split(F.lower("text"), _WORDS)).alias("word")).where("word <> ''")
+    counts = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    groups = -(-samples // GROUP)
+    weighed = counts.select(*keys, "term", F.log(F.col("n").cast("double")).alias("w"), F.explode(F.array(*[F.lit(GROUP * g) for g in range(groups)])).alias("g"))
+    least = weighed.groupBy(*keys, "g").agg(*(F.min(sample(F.col("term"), F.col("w"), F.col("g") + i)).alias(f"s{i}") for i in range(GROUP)))
+    part = F.struct("g", F.array(*(F.col(f"s{i}").bitwiseAND(F.lit(_LOW).cast("long")) for i in range(GROUP))).alias("s"))
+    # at most `groups` small arrays per text
+    listed = least.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("x"))
+    return listed.select(*keys, F.slice(F.flatten(F.transform("x", lambda x: x["s"])), 1, samples).alias("s"))
 
 
 def fingerprint(s: Column) -> Column:
@@ -61,17 +66,17 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(same / F.lit(float(samples)))
 
 
-def numbered(docs: DataFrame, width: int = 1024) -> DataFrame:
+def numbered(docs: DataFrame, width: int = 512) -> DataFrame:
     """docs (doc_id, text) dealt by block, with block and pos, which tell all rows apart.
 
     Blocks are equal ranges of doc_id, rising with it, of about width rows where ids are dense; pos counts a block's rows by
-    descending doc_id, then text. A null doc_id comes last, in the lowest block.
+    descending doc_id, then text. A null doc_id comes last, in the lowest block. A partition gets about four blocks.
     """
     n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
     step = max(1, math.ceil((high - low + 1) / max(1, math.ceil(n / width)))) if low is not None else 1
     block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(step)), F.lit(0)).cast("long")
     order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
-    return docs.withColumn("block", block).repartition("block").withColumn("pos", F.row_number().over(order))
+    return docs.withColumn("block", block).repartition(max(4, math.ceil(n / (4 * width))), "block").withColumn("pos", F.row_number().over(order))
 
 
 def with_next(rows: DataFrame, column: str) -> DataFrame:
@@ -91,7 +96,7 @@ def with_next(rows: DataFrame, column: str) -> DataFrame:
     return out.select(*rows.columns, F.when(F.col("__last"), F.col("__head")).otherwise(F.col("__next")).alias(f"next_{column}"))
 
 
-def fingerprints(docs: DataFrame, width: int = 1024) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 512) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document,
@@ -107,7 +112,8 @@ def fingerprints(docs: DataFrame, width: int = 1024) -> DataFrame:
     # kind 0 is the original, kind 1 the edited text
     texts = both.select(*keys, F.posexplode(F.array("text", "edited")).alias("kind", "text"))
     s = signatures(texts, [*keys, "kind"])
-    pairs = s.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("s"))).alias("s"), F.max(F.when(F.col("kind") == 1, F.col("s"))).alias("e"))
-    pairs = cut(pairs)
-    out = with_next(pairs, "s").join(about, keys)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("s")))
+    pairs = cut(s.groupBy(*keys).agg(of(0).alias("s"), of(1).alias("e")))
+    about = cut(about)
+    out = with_next(about.join(pairs, keys, "left"), "s")
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("s"), F.col("e")).alias("near_edited"), likeness(F.col("s"), F.col("next_s")).alias("near_next"))
