@@ -22,6 +22,7 @@ from .common import arrow_map, cut, mix, pieces, Words
 FEATURES = 6
 ENDINGS = 2048  # hashed endings of up to 3 bytes; the last is the end token's own
 NEIGHBOURS = 128
+BATCH = 8192  # positions of one gradient step
 _SALT = mix(np.arange(1, FEATURES + 1, dtype=np.uint64))
 _END, _START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A4757A4757A475)
 
@@ -196,12 +197,17 @@ def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float,
         start = shared.value
         mine = MaxEnt(start.classes, start.bits, start.bias, start.weights.copy(), start.size, start.kinds, start.top[:0], start.top_count[:0])
         seen, used = np.zeros(len(mine.weights), np.float32), np.zeros(len(mine.weights), np.int64)
+        waiting: list[tuple] = []
         for batch in pieces(batches):
             t = Tokens(batch.column(0))
             pick = np.arange(turn % stride, len(t.h), stride)
             features, target = t.features(mine.classes, mine.bits, pick), mine.classes[t.ending[pick]]
-            for a in range(0, len(pick), 4096):
-                _step(mine, seen, used, features[a : a + 4096], target[a : a + 4096], rate)
+            waiting.append((features, target))
+            if sum(len(x[1]) for x in waiting) >= BATCH:
+                _step(mine, seen, used, *(np.concatenate(x) for x in zip(*waiting, strict=True)), rate)
+                waiting.clear()
+        if waiting:
+            _step(mine, seen, used, *(np.concatenate(x) for x in zip(*waiting, strict=True)), rate)
         change = (mine.weights - start.weights) * used[:, None]
         chunks = [c for c in range(0, len(used), chunk) if used[c : c + chunk].any()]
         yield pa.RecordBatch.from_arrays([pa.array([c // chunk for c in chunks], pa.int32()), pa.array([used[c : c + chunk].tobytes() for c in chunks], pa.binary()), pa.array([change[c : c + chunk].astype(np.float32).tobytes() for c in chunks], pa.binary())], ["c", "used", "change"])
@@ -229,7 +235,7 @@ def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float,
     return out
 
 
-def fit(docs: DataFrame, levels: int = 6, bits: int = 15, stride: int = 6, rounds: int = 2, rate: float = 0.3, top: int = 1 << 18) -> tuple[MaxEnt, DataFrame]:
+def fit(docs: DataFrame, levels: int = 6, bits: int = 15, stride: int = 12, rounds: int = 2, rate: float = 0.2, top: int = 1 << 18) -> tuple[MaxEnt, DataFrame]:
     """The model, and the table of all types (h, n), which grows with the corpus and stays distributed.
 
     docs: text of the training documents. Counts, classes and their sizes cover all tokens. Gradients come from every
