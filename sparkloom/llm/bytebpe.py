@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -133,6 +134,12 @@ class ByteBPE:
         return b"".join([table[i] for i in array("I", ids)])
 
 
+@lru_cache(maxsize=1)
+def byte_bpe(path: str, pattern: str) -> ByteBPE:
+    """One coder for each Python worker, so that its memos serve all of the worker's tasks."""
+    return ByteBPE(path, pattern)
+
+
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
 
@@ -145,7 +152,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> D
     schema = T.StructType([SCHEMA[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]) if digests else SCHEMA
 
     def run(batches):
-        coder = ByteBPE(path, pattern)
+        coder = byte_bpe(path, pattern)
         for batch in pieces(batches):
             ids = [coder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             back = [coder.decode(i) for i in ids]

@@ -148,3 +148,11 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     if spark.conf.get(setting) == "10000":
         spark.conf.set(setting, "500")
     return df.mapInArrow(function, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a name like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

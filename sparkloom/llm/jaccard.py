@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import arrow_map, cut, forget, mix, pieces, Words
+from .common import arrow_map, cut, forget, fresh, mix, pieces, Words
 
 _STEPS = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
@@ -266,5 +266,6 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Documents without words, and rows without a doc_id, stay.
     """
-    gone = similar(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = fresh(docs, "__gone")
+    gone = similar(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, _LOWER, pieces, utf8
+from .common import _LOWER, arrow_map, fresh, held_out, pieces, utf8
 
 SIZE = 4  # bytes of an n-gram
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, pred: str = "lang_pred",
     shared = spark.sparkContext.broadcast(filters)
     names = [c for c in docs.columns if c not in (pred, score)]
     schema = docs.select(*names).withColumns({pred: F.lit("").cast("string"), score: F.lit(0.0)}).schema
-    ask = docs.select(*names).withColumn("__letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    ask = docs.select(*names).withColumn(fresh(docs, "__letter"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     at = names.index("text")
 
     def run(batches):
@@ -161,5 +161,6 @@ def identify(docs: DataFrame, filters: LanguageFilters, pred: str = "lang_pred",
 def keep_identified(docs: DataFrame, filters: LanguageFilters, least: float = 0.3) -> DataFrame:
     """docs, all columns as they were, without those of unknown language or whose best language covers too few n-grams."""
     names = docs.columns
-    out = identify(docs.withColumns({}), filters, "__lang_pred", "__lang_score")
-    return out.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= least)).select(*names)
+    pred, score = fresh(docs, "__lang_pred"), fresh(docs, "__lang_score")
+    out = identify(docs, filters, pred, score)
+    return out.where((F.col(pred) != "und") & (F.col(score) >= least)).select(*names)

@@ -286,8 +286,8 @@ def score(docs: DataFrame, model: MaxEnt, types: DataFrame) -> DataFrame:
             log_count = np.log10(m.top_count[at[hit]] + 0.5) if len(m.top) else np.zeros(0)
             terms = m.terms(t)
             known = np.bincount(t.row[hit], minlength=rows)
-            base = np.bincount(t.row[hit], log_count, rows)
-            model_sum = np.bincount(t.row[hit], log_count + terms[hit], rows)
+            base = np.bincount(t.row[hit], log_count, rows).astype(np.float64)
+            model_sum = np.bincount(t.row[hit], log_count + terms[hit], rows).astype(np.float64)
             rare = np.flatnonzero(~hit)
             first = np.searchsorted(t.row[rare], np.arange(rows + 1))
             lists = pa.array(first, pa.int32())

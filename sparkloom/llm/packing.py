@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, pieces
-from .wordpieces import ChunkEncoder
+from .wordpieces import chunk_encoder
 
 
 @dataclass
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits | None
     prompt = F.coalesce(F.col(prompt_tokens).cast("long"), F.lit(0)) if prompt_tokens else F.lit(0).cast("long")
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer)
+        encoder = chunk_encoder(tokenizer)
         end = int(end_id).to_bytes(4, "little")
         packer = Packer(limits, first_sequence=TaskContext.get().partitionId() << 40)
         kept: dict[int, list] = {}  # number of the row: doc_id, ids, tokens still to place
@@ -190,8 +190,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits | None
 
         for batch in pieces(batches):
             ids, texts, prompts = (batch.column(i).to_pylist() for i in range(3))
-            for doc_id, text, free in zip(ids, texts, prompts, strict=True):
-                coded = encoder.encode(text or "") + end
+            for doc_id, ids_of, free in zip(ids, encoder.encode_many([t or "" for t in texts]), prompts, strict=True):
+                coded = ids_of + end
                 kept[number] = [doc_id, coded, len(coded) // 4]
                 take(packer.add(number, len(coded) // 4, free))
                 number += 1

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import arrow_map, held_out, pieces, Words
+from .common import Words, arrow_map, fresh, held_out, pieces
 
 FEATURES = 3
 WIDTHS = (1, 2, 3)
@@ -228,4 +228,5 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> Data
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs, all columns as they were, without those that score 0.5 or more."""
     names = docs.columns
-    return score(docs, model, "__toxicity").where("__toxicity < 0.5").select(*names)
+    name = fresh(docs, "__toxicity")
+    return score(docs, model, name).where(F.col(name) < 0.5).select(*names)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from array import array
+from functools import lru_cache
 
+import numpy as np
 from tokenizers import Tokenizer
 
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -15,8 +16,8 @@ class ChunkEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers, as Tokenizer.encode(text) without special tokens.
 
     Only for tokenizers that never join characters across ASCII white space and drop it (such as the file word_bpe_49k.json):
-    there the ids of a text are the ids of its chunks, and most chunks have been met before. The memo is emptied when it
-    holds ``most`` chunks, and chunks over 64 characters are not kept, so that its memory is bounded.
+    there the ids of a text are the ids of its chunks, and most chunks have been met before. The memo takes the first ``most``
+    chunks of up to 64 characters; other chunks are encoded whenever they come, so memory is bounded.
     """
 
     def __init__(self, path: str, most: int = 400_000) -> None:
@@ -24,20 +25,43 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.most = most
         self.memo: dict[str, bytes] = {}
+        # a mark between chunks, so that many are encoded at once: a character that is one id by itself
+        self.mark, self.mark_id = next(((c, i[0]) for c in "§¶†¤" if len(i := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1), ("", -1))
 
-    def encode(self, text: str) -> bytes:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        clear = [c for c in chunks if self.mark and self.mark not in c]
+        found: dict[str, bytes] = {}
+        if clear:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(clear)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            if len(ends) == len(clear) - 1:
+                data = ids.tobytes()
+                starts = [0] + [4 * e + 4 for e in ends]
+                found = {c: data[a:b] for c, a, b in zip(clear, starts, [4 * e for e in ends] + [len(data)], strict=True)}
+        rest = [c for c in chunks if c not in found]
+        if rest:
+            found |= {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        return found
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
         # split() also splits at four control characters that the tokenizer keeps
-        chunks = _CHUNK.findall(text) if _ODD.search(text) else text.split()
-        distinct, memo = set(chunks), self.memo
-        new = [c for c in distinct if c not in memo]
+        split = [_CHUNK.findall(t) if _ODD.search(t) else t.split() for t in texts]
+        memo = self.memo
+        new = [c for c in set().union(*split) if c not in memo]
         if new:
-            if len(memo) + len(new) > self.most:
-                memo.clear()
-                new = list(distinct)
-            for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[chunk] = array("I", found.ids).tobytes()
-        out = b"".join([memo[c] for c in chunks])
-        for chunk in new:
-            if len(chunk) > 64:
-                del memo[chunk]
-        return out
+            found = self._learn(new)
+            room = self.most - len(memo)
+            if room > 0:
+                memo.update((c, b) for c, b in list(found.items())[:room] if len(c) <= 64)
+            get = memo.get
+            return [b"".join([b if (b := get(c)) is not None else found[c] for c in chunks]) for chunks in split]
+        return [b"".join([memo[c] for c in chunks]) for chunks in split]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
+
+
+@lru_cache(maxsize=1)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One encoder for each Python worker, so that its memo serves all of the worker's tasks."""
+    return ChunkEncoder(path)
