@@ -190,15 +190,15 @@ def _(spark, d):
 
 
 @query("A14_W13_severity_priority", f"""WITH h AS ({_SEVERITY}), s AS (SELECT *, severity_sum / CAST(sum(severity_sum) OVER () AS DOUBLE) AS share,
- 0.5 * severity_sum / max(severity_sum) OVER () + 0.3 * mean_severity / max(mean_severity) OVER () + 0.2 * approved_records / max(approved_records) OVER () AS p FROM h)
-SELECT hotspot_unit, round(share, 6) + 0.0 AS share, round(p, 6) + 0.0 AS priority, row_number() OVER (ORDER BY round(p, 9) DESC, hotspot_unit) AS rank FROM s""")
+ 100 * (0.5 * severity_sum / (max(severity_sum) OVER () + 1e-9) + 0.3 * mean_severity / 5.0 + 0.2 * approved_records / (max(approved_records) OVER () + 1e-9)) AS p FROM h)
+SELECT hotspot_unit, round(share, 6) + 0.0 AS share, round(p, 5) + 0.0 AS priority, row_number() OVER (ORDER BY round(p, 7) DESC, hotspot_unit) AS rank FROM s""")
 def _(spark, d):
     h = hotspot_severity(events(spark, d))
-    top = h.agg(F.sum("severity_sum").alias("total"), F.max("severity_sum").alias("ms"), F.max("mean_severity").alias("mm"), F.max("approved_records").alias("mr"))
-    s = h.crossJoin(F.broadcast(top)).withColumn("p", 0.5 * F.col("severity_sum") / F.col("ms") + 0.3 * F.col("mean_severity") / F.col("mm") + 0.2 * F.col("approved_records") / F.col("mr"))
+    top = h.agg(F.sum("severity_sum").alias("total"), F.max("severity_sum").alias("ms"), F.max("approved_records").alias("mr"))
+    s = h.crossJoin(F.broadcast(top)).withColumn("p", 100 * (0.5 * c.ratio("severity_sum", "ms") + 0.3 * F.col("mean_severity") / 5 + 0.2 * c.ratio("approved_records", "mr")))
     # ranks are over hotspots, of which there are few
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round("p", 9)), "hotspot_unit")).cast("long")
-    return s.select("hotspot_unit", r(F.col("severity_sum") / F.col("total")).alias("share"), r("p").alias("priority"), rank.alias("rank"))
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round("p", 7)), "hotspot_unit")).cast("long")
+    return s.select("hotspot_unit", r(F.col("severity_sum") / F.col("total")).alias("share"), r("p", 5).alias("priority"), rank.alias("rank"))
 
 
 @query("A15_severity_by_status", "SELECT status, count(*) AS n, round(avg(severity), 6) + 0.0 AS mean_severity FROM e GROUP BY 1")
