@@ -29,7 +29,7 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None)
     kind = path.rstrip("/").rpartition(".")[2].lower()
     reader = spark.read.schema(schema) if schema else spark.read
     if kind in ("csv", "gz", "txt"):
-        return reader.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False).csv(path)
+        return reader.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
     if kind in ("json", "jsonl", "ndjson"):
         return reader.json(path)
     return reader.orc(path) if kind == "orc" else reader.parquet(path)
@@ -130,7 +130,7 @@ class Settings:
 def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Overwrites the table at the path; CSV has a header and no index."""
     w = df.write.mode("overwrite")
-    w.option("header", True).csv(path) if kind == "csv" else w.format(kind).save(path)
+    w.option("header", True).option("escape", '"').csv(path) if kind == "csv" else w.format(kind).save(path)
 
 
 def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
