@@ -169,7 +169,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits | None
 
     def run(batches):
         encoder = chunk_encoder(tokenizer)
-        end = int(end_id).to_bytes(4, "little")
         packer = Packer(limits, first_sequence=TaskContext.get().partitionId() << 40)
         kept: dict[int, list] = {}  # number of the row: doc_id, ids, tokens still to place
         rows: list[tuple] = []
@@ -188,12 +187,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits | None
             rows.clear()
             return out
 
-        for batch in pieces(batches):
-            ids, texts, prompts = (batch.column(i).to_pylist() for i in range(3))
-            for doc_id, ids_of, free in zip(ids, encoder.encode_many([t or "" for t in texts]), prompts, strict=True):
-                coded = ids_of + end
-                kept[number] = [doc_id, coded, len(coded) // 4]
-                take(packer.add(number, len(coded) // 4, free))
+        for batch in pieces(batches, 2 << 20):
+            tokens, at = encoder.encode_column(batch.column(1), end_id)
+            coded = tokens.astype("<u4").tobytes()
+            for k, (doc_id, free) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                own = coded[4 * at[k] : 4 * at[k + 1]]
+                kept[number] = [doc_id, own, len(own) // 4]
+                take(packer.add(number, len(own) // 4, free))
                 number += 1
             if len(rows) > 5000:
                 yield flush()

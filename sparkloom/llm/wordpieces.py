@@ -1,64 +1,111 @@
-"""Ids of a tokenizer file of the ``tokenizers`` library, with a bounded memo over chunks between white space."""
+"""Ids of a tokenizer file of the ``tokenizers`` library, word by word, with a bounded memo of words."""
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-_ODD = re.compile(r"[\x1c-\x1f]")
+from .common import Words
 
 
 class ChunkEncoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers, as Tokenizer.encode(text) without special tokens.
+    """encode_column gives the ids of every row, as Tokenizer.encode without special tokens.
 
-    Only for tokenizers that never join characters across ASCII white space and drop it (such as the file word_bpe_49k.json):
-    there the ids of a text are the ids of its chunks, and most chunks have been met before. The memo takes the first ``most``
-    chunks of up to 64 characters; other chunks are encoded whenever they come, so memory is bounded.
+    Only for tokenizers that lower-case, never join characters across ASCII white space, and drop it, and that set a full
+    stop or comma after a letter apart (such as the file word_bpe_49k.json): there the ids of a text are the ids of its
+    words, of which a batch has far fewer different ones. Words are told apart by a 64-bit hash. The memo is a sorted table
+    of up to ``most`` hashes with the places of their ids in one array; words beyond that are encoded whenever they come.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
-        self.memo: dict[str, bytes] = {}
-        # a mark between chunks, so that many are encoded at once: a character that is one id by itself
-        self.mark, self.mark_id = next(((c, i[0]) for c in "§¶†¤" if len(i := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1), ("", -1))
+        one = lambda c: self.tokenizer.encode(c, add_special_tokens=False).ids
+        self.ends = [np.array(one(c), np.uint32) for c in ".,"]
+        # a mark between words, so that many are encoded at once: a character that is one id by itself
+        self.mark, self.mark_id = next(((c, i[0]) for c in "§¶†¤" if len(i := one(c)) == 1), ("", -1))
+        # two tables: a large one, and a small one of what came since the large one was last merged
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        clear = [c for c in chunks if self.mark and self.mark not in c]
-        found: dict[str, bytes] = {}
-        if clear:
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(clear)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
-            if len(ends) == len(clear) - 1:
-                data = ids.tobytes()
-                starts = [0] + [4 * e + 4 for e in ends]
-                found = {c: data[a:b] for c, a, b in zip(clear, starts, [4 * e for e in ends] + [len(data)], strict=True)}
-        rest = [c for c in chunks if c not in found]
-        if rest:
-            found |= {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
-        return found
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        clear = [self.mark != "" and self.mark not in w for w in words]
+        if all(clear):
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) == len(words) - 1:
+                return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        # split() also splits at four control characters that the tokenizer keeps
-        split = [_CHUNK.findall(t) if _ODD.search(t) else t.split() for t in texts]
-        memo = self.memo
-        new = [c for c in set().union(*split) if c not in memo]
-        if new:
-            found = self._learn(new)
-            room = self.most - len(memo)
-            if room > 0:
-                memo.update((c, b) for c, b in list(found.items())[:room] if len(c) <= 64)
-            get = memo.get
-            return [b"".join([b if (b := get(c)) is not None else found[c] for c in chunks]) for chunks in split]
-        return [b"".join([memo[c] for c in chunks]) for chunks in split]
+    def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of known words begin and how many there are; -1 for unknown ones."""
+        start, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for known, starts, counts in self.tables:
+            if len(known):
+                at = np.searchsorted(known, hashes).clip(max=len(known) - 1)
+                hit = known[at] == hashes
+                start[hit], count[hit] = starts[at[hit]], counts[at[hit]]
+        return start, count
+
+    def _keep(self, hashes, start, count) -> None:
+        large, small = self.tables
+        merged = [np.concatenate(x) for x in zip(small, (hashes, start, count), strict=True)]
+        if len(merged[0]) > 1 << 17:
+            merged = [np.concatenate(x) for x in zip(large, merged, strict=True)]
+            order = np.argsort(merged[0])
+            self.tables = [tuple(m[order] for m in merged), tuple(m[:0] for m in merged)]
+        else:
+            order = np.argsort(merged[0])
+            self.tables = [large, tuple(m[order] for m in merged)]
+
+    def encode_column(self, column, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of the rows of an Arrow string column, one after the other, and the n + 1 offsets; nulls have none. end_id is added to each row."""
+        w = Words(column)
+        n = len(w.start)
+        last, before = (w.data[w.end - 1], w.data[np.maximum(w.end - 2, 0)]) if n else (np.zeros(0, np.uint8),) * 2
+        letter = (w.end - w.start > 1) & (before >= 97) & (before <= 122)
+        mark = np.where(letter & (last == 46), 0, np.where(letter & (last == 44), 1, -1))
+        end = w.end - (mark >= 0)
+        hashes, first, which = np.unique(w.span(w.start, end), return_index=True, return_inverse=True)
+        start, count = self._place(hashes)
+        new = np.flatnonzero(start < 0)
+        pool = self.ids
+        if len(new):
+            data = w.data.tobytes()
+            words = [data[a:b].decode() for a, b in zip(w.start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            ids, counts = self._learn(words)
+            count[new] = counts
+            start[new] = len(pool) + np.cumsum(counts) - counts
+            pool = np.concatenate([pool, ids])
+            if sum(len(t[0]) for t in self.tables) < self.most:
+                self.ids = pool
+                self._keep(hashes[new], start[new], counts)
+        start, count = start[which], count[which]
+        extra = np.array([len(e) for e in self.ends] + [0])[mark]
+        ends = np.cumsum(count + extra)
+        total = int(ends[-1]) if n else 0
+        out = np.zeros(total, np.uint32)
+        begin = ends - count - extra
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        out[np.repeat(begin, count) + at] = pool[np.repeat(start, count) + at]
+        for k, ids in enumerate(self.ends):
+            for j, i in enumerate(ids):
+                own = mark == k
+                out[ends[own] - len(ids) + j] = i
+        offsets = np.concatenate([[0], ends])[w.first]
+        if end_id is not None:
+            out = np.insert(out, offsets[1:], end_id)
+            offsets = offsets + np.arange(len(offsets))
+        return out, offsets
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_column(pa.array([text], pa.large_string()))[0].astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
