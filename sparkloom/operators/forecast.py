@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,24 @@ class Forecast:
         scored = self.chance.transform(out).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).select(*out.columns, "probability")
         return _calibrated(self.calibration, scored) if self.calibration else scored
 
+    def save(self, path: str) -> None:
+        """The models and their columns under a path."""
+        self.value.write().overwrite().save(f"{path}/value")
+        for name, model in (("chance", self.chance), ("calibration", self.calibration)):
+            if model is not None:
+                model.write().overwrite().save(f"{path}/{name}")
+        spark = SparkSession.active()
+        rows = [(",".join(self.numbers), ",".join(self.texts), self.chance is not None, type(self.calibration).__name__)]
+        spark.createDataFrame(rows, "numbers string, texts string, chance boolean, calibration string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+    @classmethod
+    def load(cls, path: str) -> Forecast:
+        about = SparkSession.active().read.json(f"{path}/about").first()
+        kinds = {"IsotonicRegressionModel": IsotonicRegressionModel, "LogisticRegressionModel": LogisticRegressionModel}
+        calibration = kinds[about.calibration].load(f"{path}/calibration") if about.calibration in kinds else None
+        names = lambda x: x.split(",") if x else []
+        return cls(PipelineModel.load(f"{path}/value"), PipelineModel.load(f"{path}/chance") if about.chance else None, calibration, names(about.numbers), names(about.texts))
+
 
 def _calibrated(model, df: DataFrame) -> DataFrame:
     vec = VectorAssembler(inputCols=["probability"], outputCol="__p")

@@ -199,7 +199,7 @@ def test_payload_shapes(spark):
     assert [(r.r.distance_m, r.r.duration_sec) for r in got] == [(700, 60), (None, 5), (3, None), (2000, 9), (None, None), (None, None)]
 
 
-def test_forecast_splits_and_predicts(spark):
+def test_forecast_splits_predicts_and_is_stored(spark, tmp_path):
     r = np.random.default_rng(7)
     rows = [(k, w, float(x := r.normal()), "a" if k % 2 else "b", 2 * x + w * 0.1, int(x > 0)) for k in range(30) for w in range(10)]
     df = spark.createDataFrame(rows, "k int, w int, x double, t string, y double, up int")
@@ -209,6 +209,9 @@ def test_forecast_splits_and_predicts(spark):
     m = forecast.metrics(model.predict(split.where("is_test")), "y", "up")
     assert m["r2"] > 0.7 and m["auc"] > 0.9 and 0 <= m["brier"] <= 0.25
     assert forecast.importances(model)[0][1] > 0
+    model.save(f"file://{tmp_path}/m")
+    again = forecast.Forecast.load(f"file://{tmp_path}/m").predict(split).agg(F.sum("predicted"), F.sum("probability")).first()
+    assert again == model.predict(split).agg(F.sum("predicted"), F.sum("probability")).first()
 
 
 def test_isolation_ranks_an_outlier_first(spark):
