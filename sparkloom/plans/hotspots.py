@@ -192,7 +192,7 @@ def _(spark, d):
     return a.hour_profile(cluster_events(spark, d), "cluster_id")
 
 
-@query("A46_describe", "SELECT count(n) AS n, round(avg(n), 6) + 0.0 AS mean, round(stddev_samp(n), 6) + 0.0 AS std, round(min(n), 6) + 0.0 AS low, round(quantile_cont(n, 0.25), 6) + 0.0 AS q25, round(quantile_cont(n, 0.5), 6) + 0.0 AS q50, round(quantile_cont(n, 0.75), 6) + 0.0 AS q75, round(max(n), 6) + 0.0 AS high FROM w", "w")
+@query("A46_describe", "SELECT count(n) AS n, round(avg(n), 6) + 0.0 AS mean, round(stddev_samp(n), 6) + 0.0 AS std, round(CAST(min(n) AS DOUBLE), 6) + 0.0 AS low, round(quantile_cont(n, 0.25), 6) + 0.0 AS q25, round(quantile_cont(n, 0.5), 6) + 0.0 AS q50, round(quantile_cont(n, 0.75), 6) + 0.0 AS q75, round(CAST(max(n) AS DOUBLE), 6) + 0.0 AS high FROM w", "w")
 def _(spark, d):
     return a.describe(a.weekly(cluster_events(spark, d), "cluster_id").withColumn("n", F.col("n").cast("double")), "n")
 
@@ -540,7 +540,7 @@ def _(spark, d):
     return x.select("cluster_id", "band", c.time_window("ph").alias("span"), c.shift(F.greatest(F.col("ph") - 1, F.lit(0))).alias("shift"), c.shift_by_peak_or_score("ph", "score")[0].alias("shift2"), c.action("band").alias("action"), tow.alias("tow"))
 
 
-@query("F48_F51_F53_context", f"""WITH {_SCORED}, b AS (SELECT cluster_id, cluster_id % 7 AS poi, 1 + (cluster_id % 4) * 0.2 AS tr FROM so)
+@query("F48_F51_F53_context", f"""WITH {_SCORED}, b AS (SELECT cluster_id, CAST(cluster_id % 7 AS DOUBLE) AS poi, 1 + (cluster_id % 4) * CAST(0.2 AS DOUBLE) AS tr FROM so)
 SELECT cluster_id, round(least(greatest(1 + least(0.5, 0.08 * poi) + least(0.5, greatest(0, 0.25 * (tr - 1))), 1), 2), 6) + 0.0 AS multiplier, CAST(CASE WHEN poi > 0 THEN 100 + least(400, 50 * poi) END AS BIGINT) AS radius, CASE WHEN poi >= 2 THEN 'validated' WHEN poi = 1 THEN 'partial' ELSE 'unvalidated' END AS status, round(least(100, 42 + 5.5 * poi), 6) + 0.0 AS coverage FROM b""", "c")
 def _(spark, d):
     x = cluster_summary(cluster_events(spark, d)).withColumns({"poi": F.col("cluster_id") % 7, "tr": 1 + (F.col("cluster_id") % 4) * 0.2})
