@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,29 +11,75 @@ from pyspark.sql import functions as F
 
 from .checkpoint import cut
 from .graph import components
-from .spatial import near_pairs, projected
+from .spatial import projected
 
 
 def st_dbscan(df: DataFrame, key: str = "id", time: str = "days", order: tuple[str, ...] = ("days", "id"), eps_m: float = 150.0, eps_days: float = 3.0, min_points: int = 15) -> DataFrame:
     """df with cluster_id (from 1, by the first core row in order; -1 is noise) and is_core.
 
-    df has key, latitude, longitude and time in days. A row is core if at least min_points rows, itself included, are near it.
-    Clusters are the components of core rows near each other; any other row near a core one joins the lowest-numbered cluster
-    that it is near to. That is what a scan in that order, growing one cluster after the other, gives.
+    df has key, latitude, longitude and time in days; rows without a place or time are noise. A row is core if at least
+    min_points rows, itself included, are near it. Clusters are the components of core rows near each other; any other row
+    near a core one joins the lowest-numbered cluster that it is near to. That is what a scan in that order, growing one
+    cluster after the other, gives.
+
+    Rows of one cell (eps / sqrt 2 wide, eps_days long) are all near each other. A cell of min_points rows is dense: its rows
+    are core and stand for one node, so rows of a crowded place are never paired with each other. Pairs are made only from
+    rows of the other cells, which hold fewer than min_points each; whether two dense cells touch is told from the extents of
+    their sub-cells, and by rows only where these can't tell.
     """
-    rows = projected(df.where("latitude IS NOT NULL AND longitude IS NOT NULL").where(F.col(time).isNotNull()))
-    pairs = cut(near_pairs(rows, key, radius=eps_m, time=time, days=eps_days))
-    core = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("k")))
-    links = pairs.join(core.withColumnRenamed("k", "a"), "a").join(core.withColumnRenamed("k", "b"), "b").where("a < b")
-    found = components(links, "a", "b").select(F.col("node").alias("k"), "component")
-    of = cut(core.join(found, "k", "left").select("k", F.coalesce("component", "k").alias("component")))
-    first = of.join(df.select(F.col(key).alias("k"), *(F.col(o).alias(f"__o{i}") for i, o in enumerate(order))), "k").groupBy("component").agg(F.min(F.struct(*(f"__o{i}" for i in range(len(order))))).alias("at"))
+    side = eps_m / math.sqrt(2) * (1 - 1e-9)
+    xyt = projected(df.where("latitude IS NOT NULL AND longitude IS NOT NULL").where(F.col(time).isNotNull()))
+    rows = xyt.select(F.col(key).alias("k"), "x", "y", F.col(time).cast("double").alias("t"), F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order))).alias("o"))
+    at = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    rows = rows.withColumn("cell", F.struct(at("x", side).alias("a"), at("y", side).alias("b"), at("t", eps_days).alias("c")))
+    cells = cut(rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("k").alias("rep"), F.min("o").alias("first")))
+    dense = cells.where(F.col("n") >= min_points)
+    rows = cut(rows.join(dense.select("cell", "rep"), "cell", "left"))
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in range(-2, 3) for b in range(-2, 3) for c in (-1, 0, 1)])
+
+    def around(d: DataFrame) -> DataFrame:
+        return d.withColumn("__s", F.explode(steps)).withColumn("cell", F.struct(*((F.col(f"cell.{c}") + F.col(f"__s.{c}")).alias(c) for c in "abc"))).drop("__s")
+
+    other = lambda d, name: d.select("cell", *(F.col(c).alias(f"{c}_{name}") for c in ("k", "x", "y", "t", "rep")))
+    near = lambda p, q: (F.pow(F.col(f"x_{p}") - F.col(f"x_{q}"), 2) + F.pow(F.col(f"y_{p}") - F.col(f"y_{q}"), 2) <= eps_m * eps_m) & (F.abs(F.col(f"t_{p}") - F.col(f"t_{q}")) <= eps_days)
+    loose = rows.where("rep IS NULL")
+    asks = other(around(loose), "p")
+    pairs = cut(asks.join(other(loose, "q"), "cell").where(near("p", "q")).select(F.col("k_p").alias("p"), F.col("k_q").alias("q")))
+    touches = cut(asks.join(other(rows.where("rep IS NOT NULL"), "q"), "cell").where(near("p", "q")).groupBy(F.col("k_p").alias("p"), F.col("rep_q").alias("q")).agg(F.count("*").alias("n")))
+    total = pairs.groupBy("p").agg(F.count("*").alias("n")).unionByName(touches.select("p", "n")).groupBy("p").agg(F.sum("n").alias("n"))
+    core = cut(total.where(F.col("n") >= min_points).select("p"))
+
+    links = pairs.join(core, "p", "left_semi").join(core.withColumnRenamed("p", "q"), "q", "left_semi").where("p < q").select("p", "q")
+    links = links.unionByName(touches.join(core, "p", "left_semi").select("p", "q")).unionByName(_dense_links(rows, dense, around, near, other, side, eps_m, eps_days))
+    found = components(links, "p", "q").withColumnRenamed("node", "k")
+    nodes = core.join(rows.select(F.col("k").alias("p"), "o"), "p").select(F.col("p").alias("k"), "o").unionByName(dense.select(F.col("rep").alias("k"), F.col("first").alias("o")))
+    nodes = cut(nodes.join(found, "k", "left").withColumn("component", F.coalesce("component", "k")))
     # one row per cluster
-    numbers = first.select("component", F.row_number().over(Window.orderBy("at")).cast("long").alias("cluster_id"))
-    of = of.join(numbers, "component").select("k", "cluster_id")
-    border = pairs.join(of.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.min("cluster_id").alias("near_id"))
-    out = df.join(of.withColumnRenamed("k", key), key, "left").join(border.withColumnRenamed("a", key), key, "left")
-    return out.withColumns({"is_core": F.col("cluster_id").isNotNull().cast("int"), "cluster_id": F.coalesce("cluster_id", "near_id", F.lit(-1).cast("long"))}).drop("near_id")
+    numbers = nodes.groupBy("component").agg(F.min("o").alias("o")).select("component", F.row_number().over(Window.orderBy("o")).cast("long").alias("cluster_id"))
+    of = cut(nodes.join(numbers, "component").select("k", "cluster_id"))
+    border = pairs.select("p", "q").unionByName(touches.select("p", "q")).join(of.withColumnRenamed("k", "q"), "q").groupBy(F.col("p").alias("k")).agg(F.min("cluster_id").alias("near_id"))
+    known = rows.withColumn("node", F.coalesce("rep", "k")).join(of.withColumnRenamed("k", "node"), "node", "left").join(border, "k", "left")
+    known = known.select(F.col("k").alias(key), F.coalesce("cluster_id", "near_id", F.lit(-1).cast("long")).alias("cluster_id"), F.col("cluster_id").isNotNull().cast("int").alias("is_core"))
+    return df.drop("cluster_id", "is_core").join(known, key, "left").fillna({"cluster_id": -1, "is_core": 0})
+
+
+def _dense_links(rows, dense, around, near, other, side: float, eps_m: float, eps_days: float, parts: int = 4) -> DataFrame:
+    """Pairs (p, q) of dense cells' nodes that have rows near each other."""
+    sub = lambda c, size: F.floor(F.col(c) * parts / size).cast("long")
+    inside = rows.where("rep IS NOT NULL").withColumn("sub", F.struct(sub("x", side).alias("a"), sub("y", side).alias("b"), sub("t", eps_days).alias("c")))
+    extents = cut(inside.groupBy("cell", "rep", "sub").agg(*(f(c).alias(f"{c}{n}") for c in "xyt" for n, f in (("0", F.min), ("1", F.max)))))
+    boxes = lambda d, name: d.select("cell", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "sub", "x0", "x1", "y0", "y1", "t0", "t1")))
+    both = boxes(around(extents), "p").join(boxes(extents, "q"), "cell").where("rep_p < rep_q")
+    least = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0_q") - F.col(f"{c}1_p"), F.col(f"{c}0_p") - F.col(f"{c}1_q"))
+    most = lambda c: F.greatest(F.col(f"{c}1_q") - F.col(f"{c}0_p"), F.col(f"{c}1_p") - F.col(f"{c}0_q"))
+    possible = (F.pow(least("x"), 2) + F.pow(least("y"), 2) <= eps_m * eps_m) & (least("t") <= eps_days)
+    sure = (F.pow(most("x"), 2) + F.pow(most("y"), 2) <= eps_m * eps_m) & (most("t") <= eps_days)
+    told = cut(both.where(possible).select(F.col("rep_p").alias("p"), F.col("rep_q").alias("q"), "sub_p", "sub_q", sure.alias("sure")))
+    yes = told.where("sure").select("p", "q").distinct()
+    open_ = told.join(yes, ["p", "q"], "left_anti").select(F.col("p").alias("rep_p"), F.col("q").alias("rep_q"), "sub_p", "sub_q")
+    points = lambda name: inside.select(*(F.col(c).alias(f"{c}_{name}") for c in ("rep", "sub", "x", "y", "t")))
+    seen = open_.join(points("p"), ["rep_p", "sub_p"]).join(points("q"), ["rep_q", "sub_q"]).where(near("p", "q"))
+    return yes.unionByName(seen.select(F.col("rep_p").alias("p"), F.col("rep_q").alias("q")).distinct())
 
 
 def hull(points: np.ndarray) -> np.ndarray:
