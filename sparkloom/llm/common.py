@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -141,13 +144,26 @@ def pieces(batches, max_bytes: int = 1 << 19, text: str = "text"):
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow in batches of few rows, so that long texts take little memory at once.
 
-    Where the session still has Spark's default of 10000 rows in an Arrow batch, it is lowered to 500 from here on.
+    Where the session still has Spark's default of 10000 rows in an Arrow batch, it is lowered to 500 from here on. What a
+    task has freed goes back to the system at its end, as its worker lives on beside the next task's.
     """
     spark = df.sparkSession
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(setting) == "10000":
         spark.conf.set(setting, "500")
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def fresh(df: DataFrame, name: str) -> str:

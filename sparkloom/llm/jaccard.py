@@ -74,10 +74,10 @@ def frequent(docs: DataFrame, words: int, share: int) -> np.ndarray:
             docs_seen += batch.num_rows
             parts.append(v)
             waiting += len(v)
-            if waiting > 1 << 19:
+            if waiting > 1 << 17:
                 values, counts = _merge(values, counts, parts)
                 parts, waiting = [], 0
-                if len(values) > 1 << 20:  # as in lossy counting, what is rare so far may go
+                if len(values) > 1 << 19:  # as in lossy counting, what is rare so far may go
                     keep = counts > 1 + docs_seen // (4 * share)
                     values, counts = values[keep], counts[keep]
         values, counts = _merge(values, counts, parts)
