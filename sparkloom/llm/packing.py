@@ -187,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits | None
             rows.clear()
             return out
 
-        for batch in pieces(batches, 2 << 20):
+        for batch in pieces(batches, 1 << 20):
             tokens, at = encoder.encode_column(batch.column(1), end_id)
             coded = tokens.astype("<u4").tobytes()
             for k, (doc_id, free) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):

@@ -20,7 +20,7 @@ class ChunkEncoder:
     of up to ``most`` hashes with the places of their ids in one array; words beyond that are encoded whenever they come.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
@@ -32,10 +32,13 @@ class ChunkEncoder:
         self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, words: list[str], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and how many each has."""
-        clear = [self.mark != "" and self.mark not in w for w in words]
-        if all(clear):
+        parts = [self._encoded(words[k : k + at_once]) for k in range(0, len(words), at_once)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.mark and not any(self.mark in w for w in words):
             ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == self.mark_id)
             if len(at) == len(words) - 1:
