@@ -448,12 +448,15 @@ def _(spark, d):
     return f.join(f.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
-@query("K16_pagerank")
+@query("K16_pagerank", f"""WITH {_EDGES}, gd AS (SELECT * FROM ed WHERE weight > 0), pt AS (SELECT src, sum(weight) AS total FROM gd GROUP BY 1), lk AS (SELECT gd.src, gd.dst, weight / total AS p FROM gd JOIN pt USING (src)),
+ it AS (SELECT 0 AS i, cluster_id, 1.0 / (SELECT count(*) FROM ctr) AS x FROM ctr UNION ALL
+  SELECT i + 1, cluster_id, 0.85 * (coalesce((SELECT sum(o.x * lk.p) FROM it o JOIN lk ON lk.src = o.cluster_id WHERE lk.dst = it.cluster_id), 0) + (SELECT coalesce(sum(o.x), 0) FROM it o WHERE o.cluster_id NOT IN (SELECT src FROM pt)) / (SELECT count(*) FROM ctr)) + 0.15 / (SELECT count(*) FROM ctr) FROM it WHERE i < 120)
+SELECT cluster_id, round(x, 5) + 0.0 AS pagerank FROM it WHERE i = 120""", "c")
 def _(spark, d):
     from ..operators.graph import pagerank
 
     ev = cluster_events(spark, d)
-    return pagerank(centres(ev), spillover(ev), "cluster_id").select(F.col("node").alias("cluster_id"), r("pagerank").alias("pagerank"))
+    return pagerank(centres(ev), spillover(ev), "cluster_id", tolerance=1e-9).select(F.col("node").alias("cluster_id"), r("pagerank", 5).alias("pagerank"))
 
 
 @query("K14_betweenness")
@@ -464,7 +467,14 @@ def _(spark, d):
     return betweenness(centres(ev), spillover(ev), "cluster_id").select(F.col("node").alias("cluster_id"), r("betweenness").alias("betweenness"))
 
 
-@query("K10_st_dbscan")
+@query("K10_st_dbscan", """WITH a AS (SELECT * FROM e WHERE status = 'approved'), m AS (SELECT avg(latitude) AS la, avg(longitude) AS lo FROM a),
+ p AS (SELECT id, 6371000 * radians(longitude - lo) * cos(radians(la)) AS x, 6371000 * radians(latitude - la) AS y, epoch_us(created_datetime) / 1e6 / 86400 AS days FROM a, m),
+ nb AS (SELECT s.id AS p, t.id AS q FROM p s JOIN p t ON abs(s.x - t.x) <= 150 AND abs(s.days - t.days) <= 3 AND pow(s.x - t.x, 2) + pow(s.y - t.y, 2) <= 22500),
+ co AS (SELECT p FROM nb GROUP BY p HAVING count(*) >= 15), ce AS (SELECT nb.p, q FROM nb JOIN co ON co.p = nb.p JOIN co k ON k.p = nb.q),
+ reach AS (SELECT p AS node, p AS r FROM co UNION SELECT reach.node, ce.q FROM reach JOIN ce ON ce.p = reach.r), cp AS (SELECT node, min(r) AS k FROM reach GROUP BY 1),
+ nu AS (SELECT k, row_number() OVER (ORDER BY min({'d': days, 'i': id})) AS c FROM cp JOIN p ON p.id = cp.node GROUP BY k), lb AS (SELECT node, c FROM cp JOIN nu USING (k)),
+ bo AS (SELECT nb.p AS id, min(c) AS c FROM nb JOIN lb ON lb.node = nb.q GROUP BY 1)
+SELECT a.id, CAST(coalesce(lb.c, bo.c, -1) AS BIGINT) AS cluster_id, CASE WHEN lb.c IS NULL THEN 0 ELSE 1 END AS is_core FROM a LEFT JOIN lb ON lb.node = a.id LEFT JOIN bo ON bo.id = a.id""", "e")
 def _(spark, d):
     from ..operators.cluster import st_dbscan
 
@@ -512,9 +522,12 @@ def _(spark, d):
     return dispatch.allocate(_scored(cluster_events(spark, d)), "cluster_id", "score").select("cluster_id", "patrols")
 
 
-@query("K18_W16_route")
+@query("K18_W16_route", f"""WITH {_SCORED}, tp AS (SELECT cluster_id, lat, lon FROM so ORDER BY score DESC, cluster_id LIMIT 12),
+ rt AS (SELECT 0 AS seq, CAST(-1 AS BIGINT) AS cluster_id, CAST(12.9716 AS DOUBLE) AS lat, CAST(77.5946 AS DOUBLE) AS lon, CAST([] AS BIGINT[]) AS seen, CAST(0 AS DOUBLE) AS leg, CAST(0 AS DOUBLE) AS total UNION ALL
+  SELECT rt.seq + 1, n.cluster_id, n.lat, n.lon, list_append(rt.seen, n.cluster_id), n.m, rt.total + n.m FROM rt, LATERAL (SELECT tp.*, {_DIST.format(a='rt', b='tp')} AS m FROM tp WHERE NOT list_contains(rt.seen, tp.cluster_id) ORDER BY m LIMIT 1) n WHERE rt.seq < 12)
+SELECT seq, cluster_id, round(leg, 1) + 0.0 AS leg_m, round(total, 1) + 0.0 AS total_m FROM rt WHERE seq > 0""", "c")
 def _(spark, d):
-    return dispatch.greedy_route(_scored(cluster_events(spark, d)), "cluster_id", "score", (12.9716, 77.5946)).select("seq", "cluster_id", r("leg_m", 3).alias("leg_m"), r("total_m", 3).alias("total_m"))
+    return dispatch.greedy_route(_scored(cluster_events(spark, d)), "cluster_id", "score", (12.9716, 77.5946)).select("seq", "cluster_id", r("leg_m", 1).alias("leg_m"), r("total_m", 1).alias("total_m"))
 
 
 @query("K19_weighted_route")
