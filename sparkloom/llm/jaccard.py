@@ -60,8 +60,8 @@ def _required(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def frequent(docs: DataFrame, words: int, share: int) -> np.ndarray:
-    """Shingles in at least one of share documents or so, rarest first: at most (mean set size) * 2 * share of them.
+def frequent(docs: DataFrame, words: int, share: int, most: int = 1 << 20) -> np.ndarray:
+    """Shingles in at least one of share documents or so, rarest first: the most frequent `most` of them.
 
     Every document counts. A task reports shingles that it meets in one of 2 * share of its own documents, twice at least.
     """
@@ -87,8 +87,8 @@ def frequent(docs: DataFrame, words: int, share: int) -> np.ndarray:
 
     found = arrow_map(docs.select("text"), heavy, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     total = docs.count()
-    # its size is bounded: sets hold total * (mean size) shingles, and each of these takes total / (2 * share) of them
-    rows = found.where(F.col("n") >= max(3, total // (2 * share))).toArrow()
+    # the order may be any; a parameter bounds what is sent around
+    rows = found.where(F.col("n") >= max(3, total // (2 * share))).orderBy(F.desc("n"), "s").limit(most).toArrow()
     s, n = rows.column("s").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     return s[np.lexsort((s, n))]
 
@@ -187,7 +187,7 @@ def _bound(c, n, m, percent: int):
     return (c + F.least(rest, n, m)) * (100 + percent) >= percent * (n + m)
 
 
-def similar(docs: DataFrame, words: int = 5, percent: int = 80, share: int = 4000, rounds: int = 2) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, percent: int = 80, share: int = 16000, rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles (set size) and component_id, the smallest doc_id reachable by links.
 
     docs: any columns with doc_id (whole numbers, distinct) and text. Two documents link when 100 * (shingles in both)
