@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from .common import Words
+from .common import Words, release
 
 
 class ChunkEncoder:
@@ -20,7 +20,7 @@ class ChunkEncoder:
     of up to ``most`` hashes with the places of their ids in one array; words beyond that are encoded whenever they come.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
@@ -31,8 +31,9 @@ class ChunkEncoder:
         # two tables: a large one, and a small one of what came since the large one was last merged
         self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
         self.ids = np.zeros(0, np.uint32)
+        self.calls = 0
 
-    def _learn(self, words: list[str], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, words: list[str], at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and how many each has."""
         parts = [self._encoded(words[k : k + at_once]) for k in range(0, len(words), at_once)]
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -69,6 +70,9 @@ class ChunkEncoder:
 
     def encode_column(self, column, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of the rows of an Arrow string column, one after the other, and the n + 1 offsets; nulls have none. end_id is added to each row."""
+        self.calls += 1
+        if self.calls % 32 == 0:
+            release()  # the library leaves much freed memory behind
         w = Words(column)
         n = len(w.start)
         last, before = (w.data[w.end - 1], w.data[np.maximum(w.end - 2, 0)]) if n else (np.zeros(0, np.uint8),) * 2
