@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import cut
 
 CELLS = 16
 
@@ -95,30 +95,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 1638
     def dealt(df, count, key):
         def one(table: pa.Table) -> pa.Table:
             ids = table.column("vec_id").to_numpy()
-            d = table.column("d")[0].as_py()
             flat = table.column("v").combine_chunks()
-            flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy().astype("<i8")
-            return pa.table({key: table.column(key)[:1], "d": pa.array([d], pa.int32()), f"{key}_ids": [ids.astype("<i8").tobytes()], f"{key}_v": [flat.tobytes()]})
+            flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy()
+            most = int(np.abs(flat).max(initial=0))
+            kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if most <= np.iinfo(k).max)
+            return pa.table({key: table.column(key)[:1], "d": table.column("d")[:1], f"{key}_ids": [ids.astype("<i8").tobytes()], f"{key}_v": [flat.astype(kind).tobytes()], f"{key}_kind": [kind]})
 
         dealt_out = df.withColumn(key, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-        return dealt_out.groupBy("d", key).applyInArrow(one, f"{key} int, d int, {key}_ids binary, {key}_v binary")
+        return dealt_out.groupBy("d", key).applyInArrow(one, f"{key} int, d int, {key}_ids binary, {key}_v binary, {key}_kind string")
 
     left = cut(dealt(base, blocks, "b"))
     right = dealt(asked, parts, "q").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                d = row["d"]
-                ids = np.frombuffer(row["b_ids"], "<i8")
-                here = Block(ids, np.frombuffer(row["b_v"], "<i8").reshape(len(ids), d))
-                q = np.frombuffer(row["q_ids"], "<i8")
-                out = list(here.search(q, np.frombuffer(row["q_v"], "<i8").reshape(len(q), d), k))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[[o[0] for o in out]], [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], ["query_id", "vec_id", "score"])
-
-    # one pair of blocks per Arrow batch would be best; rows are few and large, so they go over one at a time
-    pairs = left.join(right, ["b", "d"]).repartition(F.col("b"), F.col("q"))
-    found = arrow_map(pairs, run, "query_id long, vec_id long, score long")
+    def pair(table: pa.Table) -> pa.Table:
+        row = table.to_pylist()[0]
+
+        def read(key):
+            ids = np.frombuffer(row[f"{key}_ids"], "<i8")
+            return ids, np.frombuffer(row[f"{key}_v"], row[f"{key}_kind"]).astype(np.int64).reshape(len(ids), row["d"])
+
+        q, asked_for = read("q")
+        out = list(Block(*read("b")).search(q, asked_for, k))
+        whose = np.repeat(q[[o[0] for o in out]], [len(o[1]) for o in out]) if out else q[:0]
+        join = lambda i: np.concatenate([o[i] for o in out]) if out else q[:0]
+        return pa.table({"query_id": whose, "vec_id": join(1), "score": join(2)})
+
+    # a pair of blocks is a group of one row, so that a worker holds one pair at a time
+    found = left.join(right, ["b", "d"]).groupBy("b", "q", "d").applyInArrow(pair, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
