@@ -83,7 +83,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 1638
     or a null v, or with nulls in v, take no part; vectors meet only queries of the same length (an empty one scores 0 with
     empty ones). Repeated vec_ids are separate candidates. Without vectors or queries the result is empty.
 
-    Vectors and queries are dealt by a hash into blocks of bounded size, and each pair of blocks is one row of work; what
+    Vectors and queries are dealt in turn into blocks of bounded size, and each pair of blocks is one row of work; what
     a pair returns is k rows per query, so nothing grows with a vector's popularity, and a lost task repeats by itself.
     """
     whole = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v"), F.size("v").alias("d")).where("vec_id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
@@ -101,11 +101,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 1638
             kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if most <= np.iinfo(k).max)
             return pa.table({key: table.column(key)[:1], "d": table.column("d")[:1], f"{key}_ids": [ids.astype("<i8").tobytes()], f"{key}_v": [flat.astype(kind).tobytes()], f"{key}_kind": [kind]})
 
-        dealt_out = df.withColumn(key, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
+        dealt_out = df.withColumn(key, F.pmod(F.monotonically_increasing_id(), F.lit(count)).cast("int"))
         return dealt_out.groupBy("d", key).applyInArrow(one, f"{key} int, d int, {key}_ids binary, {key}_v binary, {key}_kind string")
 
     left = cut(dealt(base, blocks, "b"))
-    right = dealt(asked, parts, "q").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = cut(dealt(asked, parts, "q")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def pair(table: pa.Table) -> pa.Table:
         row = table.to_pylist()[0]
