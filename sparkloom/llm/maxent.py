@@ -22,7 +22,7 @@ from .common import arrow_map, cut, mix, pieces, Words
 FEATURES = 6
 ENDINGS = 2048  # hashed endings of up to 3 bytes; the last is the end token's own
 NEIGHBOURS = 128
-BATCH = 8192  # positions of one gradient step
+BATCH = 2048  # positions of one gradient step
 _SALT = mix(np.arange(1, FEATURES + 1, dtype=np.uint64))
 _END, _START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A4757A4757A475)
 
@@ -106,21 +106,34 @@ class MaxEnt:
 
     def log_class(self, features: np.ndarray) -> np.ndarray:
         """Log probabilities of all classes (tokens by classes)."""
-        out = self.bias + self.weights[features[:, 0]]
-        for k in range(1, FEATURES):
-            out += self.weights[features[:, k]]
+        out = self._logits(features)
         out -= out.max(1, keepdims=True)
         out -= np.log(np.exp(out).sum(1, keepdims=True))
         return out
 
-    def terms(self, t: Tokens, at_once: int = 16384) -> np.ndarray:
+    def _logits(self, features: np.ndarray) -> np.ndarray:
+        out = self.weights.take(features[:, 0], 0)
+        out += self.bias
+        for k in range(1, FEATURES):
+            out += self.weights.take(features[:, k], 0)
+        return out
+
+    def log_own(self, features: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Log probability of one class for each token."""
+        out = self._logits(features)
+        mine, top = np.take_along_axis(out, own[:, None], 1)[:, 0], out.max(1)
+        out -= top[:, None]
+        np.exp(out, out=out)
+        return mine - top - np.log(out.sum(1))
+
+    def terms(self, t: Tokens, at_once: int = 1024) -> np.ndarray:
         """For each token, log10 of (1 - unknown) p(class | before) / (size + kinds / 2 of the class), to be added to log10(count + 0.5)."""
         mine = self.classes[t.ending]
         features = t.features(self.classes, self.bits)
         out = np.zeros(len(mine))
         for a in range(0, len(mine), at_once):
             part = slice(a, a + at_once)
-            out[part] = np.take_along_axis(self.log_class(features[part]), mine[part, None], 1)[:, 0]
+            out[part] = self.log_own(features[part], mine[part])
         return (out + np.log1p(-self.unknown) - np.log(np.maximum(self.size + 0.5 * self.kinds, 0.5))[mine]) / np.log(10)
 
 
@@ -171,20 +184,20 @@ def _counted(docs: DataFrame):
 
 
 def _step(model: MaxEnt, seen: np.ndarray, used: np.ndarray, features: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One Adagrad step of the log loss on a batch, on the rows of the table that it uses."""
-    p = np.exp(model.log_class(features)).astype(np.float32)
+    """One Adagrad step of the log loss on a batch, feature by feature, on the rows of the table that it uses."""
+    p = np.exp(model.log_class(features))
     p[np.arange(len(target)), target] -= 1
-    flat = features.ravel()
-    order = np.argsort(flat, kind="stable")
-    rows = flat[order]
-    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    g = np.add.reduceat(p[order // FEATURES], starts, axis=0)
-    rows = rows[starts]
-    n = np.diff(np.append(starts, len(flat)))
-    used[rows] += n
-    g /= np.sqrt(n)[:, None]
-    seen[rows] += (g**2).mean(1)
-    model.weights[rows] -= rate * g / np.sqrt(seen[rows] + 1e-3)[:, None]
+    for k in range(FEATURES):
+        order = np.argsort(features[:, k], kind="stable")
+        rows = features[order, k]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g = np.add.reduceat(p[order], starts, axis=0)
+        rows, n = rows[starts], np.diff(np.append(starts, len(order)))
+        used[rows] += n
+        g *= (1 / np.sqrt(n)).astype(np.float32)[:, None]
+        seen[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        g *= (rate / np.sqrt(seen[rows] + 1e-3)).astype(np.float32)[:, None]
+        model.weights[rows] -= g
 
 
 def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float, chunk: int = 1024) -> np.ndarray:
@@ -197,17 +210,12 @@ def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float,
         start = shared.value
         mine = MaxEnt(start.classes, start.bits, start.bias, start.weights.copy(), start.size, start.kinds, start.top[:0], start.top_count[:0])
         seen, used = np.zeros(len(mine.weights), np.float32), np.zeros(len(mine.weights), np.int64)
-        waiting: list[tuple] = []
         for batch in pieces(batches):
             t = Tokens(batch.column(0))
             pick = np.arange(turn % stride, len(t.h), stride)
             features, target = t.features(mine.classes, mine.bits, pick), mine.classes[t.ending[pick]]
-            waiting.append((features, target))
-            if sum(len(x[1]) for x in waiting) >= BATCH:
-                _step(mine, seen, used, *(np.concatenate(x) for x in zip(*waiting, strict=True)), rate)
-                waiting.clear()
-        if waiting:
-            _step(mine, seen, used, *(np.concatenate(x) for x in zip(*waiting, strict=True)), rate)
+            for a in range(0, len(pick), BATCH):
+                _step(mine, seen, used, features[a : a + BATCH], target[a : a + BATCH], rate)
         change = (mine.weights - start.weights) * used[:, None]
         chunks = [c for c in range(0, len(used), chunk) if used[c : c + chunk].any()]
         yield pa.RecordBatch.from_arrays([pa.array([c // chunk for c in chunks], pa.int32()), pa.array([used[c : c + chunk].tobytes() for c in chunks], pa.binary()), pa.array([change[c : c + chunk].astype(np.float32).tobytes() for c in chunks], pa.binary())], ["c", "used", "change"])
@@ -235,7 +243,7 @@ def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float,
     return out
 
 
-def fit(docs: DataFrame, levels: int = 6, bits: int = 15, stride: int = 12, rounds: int = 2, rate: float = 0.2, top: int = 1 << 18) -> tuple[MaxEnt, DataFrame]:
+def fit(docs: DataFrame, levels: int = 6, bits: int = 15, stride: int = 6, rounds: int = 2, rate: float = 0.2, top: int = 1 << 18) -> tuple[MaxEnt, DataFrame]:
     """The model, and the table of all types (h, n), which grows with the corpus and stays distributed.
 
     docs: text of the training documents. Counts, classes and their sizes cover all tokens. Gradients come from every
