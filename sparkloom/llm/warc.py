@@ -251,12 +251,13 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 def archive(pages: DataFrame, to: str | None = None, sample: int = 256, least: int = 0) -> list[str]:
     """Archives page_id, url, html (null: empty) and returns the files' URIs; other columns are ignored.
 
-    The dictionary is trained on a bounded sample: the sample pages with the smallest hashes of page_id, 32 KB of each.
+    The dictionary is trained on a bounded sample: about sample pages, chosen by a hash of page_id, 32 KB of each.
     Rows with a null page_id get the id of no page; equal rows get equal records; an empty table gives no file.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    some = rows.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select(F.substring("payload", 1, 32 << 10).alias("p")).collect()
+    share = min(1.0, sample / max(1, pages.count()))
+    some = rows.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * sample).select(F.substring("payload", 1, 32 << 10).alias("p")).collect()
     dictionary = train_dictionary([encode_record("urn:page:0", None, bytes(r.p), None) for r in some])
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
     ready = with_revisits(rows, least).select(name("page_id").alias("record_id"), "url", "payload", F.when(F.col("refers_to").isNotNull(), name("refers_to")).alias("refers_to"))
