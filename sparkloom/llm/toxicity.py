@@ -180,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, longest: int =
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     total = known.count()
     part = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(total, 1))))
-    rows = docs.select("doc_id", "text").join(part, "doc_id").select("doc_id", "toxic", "text")
+    # the sample bounds what is broadcast: ids and labels
+    rows = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("doc_id", "toxic", "text")
 
     def read(batches):
         for batch in pieces(batches):
@@ -206,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, longest: int =
         tested = [w for w, a in zip(words, check, strict=True) if a]
         model.languages = langid.fit(docs)
         logits = np.array([model._logits(w, np.array([0, len(w)]))[0] for w in tested])
-        chosen = docs.select("doc_id", "text").join(docs.sparkSession.createDataFrame([(int(i),) for i in ids[check]], "doc_id long"), "doc_id")
+        tried = docs.sparkSession.createDataFrame([(int(i),) for i in ids[check]], "doc_id long").distinct()
+        chosen = docs.select("doc_id", "text").join(F.broadcast(tried), "doc_id")
         said = {r.doc_id: r.lang_pred for r in langid.identify(chosen, model.languages).select("doc_id", "lang_pred").collect()}
         model.calibrate(logits, y[check], [said.get(int(i), "und") for i in ids[check]])
     return model
