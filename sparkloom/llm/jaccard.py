@@ -138,7 +138,7 @@ def _marks(ids: DataFrame) -> np.ndarray:
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1  # these functions count from 1
     rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("b"))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # one row of 4 KB per 32768 bits
         at = (r.k - 1) * 4096
         out[at : at + 4096] |= np.frombuffer(r.b, np.uint8)[: len(out) - at]
     return out

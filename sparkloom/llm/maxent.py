@@ -236,7 +236,7 @@ def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float,
     schema = "c int, used binary, change binary"
     found = arrow_map(arrow_map(docs.select("text"), learn, schema).repartition("c"), add, schema)
     out = model.weights.copy()
-    for r in found.toLocalIterator():  # one row per chunk of the table
+    for r in found.collect():  # one row per chunk of the table
         used = np.frombuffer(r.used, np.int64)
         rows = slice(r.c * chunk, r.c * chunk + len(used))
         out[rows] += np.frombuffer(r.change, np.float32).reshape(-1, wide) / np.maximum(used, 1)[:, None].astype(np.float32)
