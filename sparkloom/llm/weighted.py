@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SAMPLES = 32
-GROUP = 8  # samples that one row of an aggregation keeps
+GROUP = 4  # samples that one row of an aggregation keeps
 _WORDS = "[\\x20\\x09-\\x0D]+"
 _LOW = 0xFFFFFFFF
 
