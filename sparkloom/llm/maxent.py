@@ -9,6 +9,7 @@ Texts are scored in sparse numpy batches: per token, six rows of the weight tabl
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -212,7 +213,7 @@ def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float,
         seen, used = np.zeros(len(mine.weights), np.float32), np.zeros(len(mine.weights), np.int64)
         for batch in pieces(batches):
             t = Tokens(batch.column(0))
-            pick = np.arange(turn % stride, len(t.h), stride)
+            pick = np.flatnonzero(t.place % stride == turn)
             features, target = t.features(mine.classes, mine.bits, pick), mine.classes[t.ending[pick]]
             for a in range(0, len(pick), BATCH):
                 _step(mine, seen, used, features[a : a + BATCH], target[a : a + BATCH], rate)
@@ -240,14 +241,15 @@ def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float,
         used = np.frombuffer(r.used, np.int64)
         rows = slice(r.c * chunk, r.c * chunk + len(used))
         out[rows] += np.frombuffer(r.change, np.float32).reshape(-1, wide) / np.maximum(used, 1)[:, None].astype(np.float32)
+    shared.destroy()
     return out
 
 
-def fit(docs: DataFrame, levels: int = 6, bits: int = 15, stride: int = 6, rounds: int = 2, rate: float = 0.2, top: int = 1 << 18) -> tuple[MaxEnt, DataFrame]:
+def fit(docs: DataFrame, levels: int = 6, bits: int = 15, stride: int = 6, rate: float = 0.2, top: int = 1 << 18) -> tuple[MaxEnt, DataFrame]:
     """The model, and the table of all types (h, n), which grows with the corpus and stays distributed.
 
     docs: text of the training documents. Counts, classes and their sizes cover all tokens. Gradients come from every
-    document, at one of stride positions in each round (others in the next one), so they grow with the corpus. The model's
+    token once: a round takes one of stride positions of each document, and there are stride rounds. The model's
     size is bounded by its parameters: 2**bits rows of 2**levels weights, and the top commonest types.
     """
     types, cells = _counted(docs)
@@ -266,8 +268,10 @@ def fit(docs: DataFrame, levels: int = 6, bits: int = 15, stride: int = 6, round
     order = np.argsort(h)
     bias = np.log((size + 0.5) / (size + 0.5).sum()).astype(np.float32)
     model = MaxEnt(classes, bits, bias, np.zeros((1 << bits, wide), np.float32), size, kinds, h[order], n[order])
-    for turn in range(rounds):
+    for turn in range(stride):
         model.weights = _round(docs, model, stride, turn, rate / (turn + 1))
+        gc.collect()
+        docs.sparkSession.sparkContext._jvm.System.gc()  # else each round's shuffle files stay until the driver happens to collect its garbage
     return model, types.select("h", "n")
 
 

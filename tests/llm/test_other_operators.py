@@ -56,6 +56,15 @@ def test_maxent_on_odd_rows_and_nothing(spark):
     assert maxent.score(docs.where("FALSE"), model, types).collect() == []
 
 
+def test_maxent_learns_from_every_position(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((40, 1, 2, 3, 4, 5, 6, 0))]
+    model, _ = maxent.fit(spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1))
+    t = maxent.Tokens(pa.array(texts))
+    words = t.features(model.classes, model.bits)[:, 0]
+    assert len(set(words[t.place > 0])) == (t.place > 0).sum()  # each row of the table belongs to one position
+    assert (np.abs(model.weights[words]).sum(1) > 0).all()
+
+
 @pytest.mark.parametrize("block", [64, 100_000])
 def test_top_k_equals_brute_force(spark, block):
     r = np.random.default_rng(2)
