@@ -47,7 +47,15 @@ def _(spark, d):
 
 @query("F31_F52_display", f"SELECT cluster_id, printf('%.2f', CAST(records AS DOUBLE)) AS shown, 'score=' || printf('%.1f', CAST(records AS DOUBLE)) || ' | window=07:00-10:00' AS notes FROM ({_SUMMARY}) WHERE records < 1000", "c")
 def _(spark, d):
-    x = cluster_summary(cluster_events(spark, d)).where("records < 1000")
+    return _display(cluster_summary(cluster_events(spark, d)).where("records < 1000"))
+
+
+@query("F31_F52_display_whole", f"SELECT cluster_id, printf('%,.2f', CAST(records AS DOUBLE)) AS shown, 'score=' || printf('%.1f', CAST(records AS DOUBLE)) || ' | window=07:00-10:00' AS notes FROM ({_SUMMARY})", "c")
+def _(spark, d):
+    return _display(cluster_summary(cluster_events(spark, d)))
+
+
+def _display(x):
     return x.select("cluster_id", c.shown("records").alias("shown"), F.concat_ws(" | ", F.format_string("score=%.1f", F.col("records").cast("double")), F.concat(F.lit("window="), c.time_window(F.lit(8)))).alias("notes"))
 
 
