@@ -504,7 +504,7 @@ def _(spark, d):
     from ..operators.cluster import isolation_scores, robust_scaled
 
     x = trends(cluster_events(spark, d)).select("cluster_id", "recent", "growth", "slope", "resurgence", "peak_ratio")
-    return isolation_scores(robust_scaled(x, x.columns[1:]), "cluster_id", x.columns[1:], trees=100).select("cluster_id", r("anomaly").alias("anomaly"))
+    return isolation_scores(robust_scaled(x, x.columns[1:]), "cluster_id", x.columns[1:]).select("cluster_id", r("anomaly").alias("anomaly"))
 
 
 @query("A42_collapse", """SELECT hotspot_unit, max(severity) AS top, CAST(sum(severity) AS BIGINT) AS severity_sum, round(avg(latitude), 8) + 0.0 AS lat, bool_or(peak = 1) AS any_peak, array_to_string(list_sort(list(DISTINCT cluster_id)), ',') AS ids, first(vehicle_type ORDER BY severity DESC, id) AS best_type FROM c GROUP BY 1""", "c")

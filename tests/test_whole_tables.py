@@ -5,7 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.operators import cluster
 from sparkloom.plans import queries as plans
+from sparkloom.plans.hotspots import trends
 from sparkloom.plans.registry import cluster_events
 
 
@@ -27,3 +29,10 @@ def test_ratio_answers_for_site_0(spark, sf):
     got = {r.id: r.ratio for r in plans.QUERIES["F16_F19_F55_fallbacks_and_numbers_whole"](spark, sf).collect()}
     assert got.keys() == e.keys() and 0 in e.values()
     assert all(math.isclose(got[i], i / (s + 1e-9), rel_tol=1e-9, abs_tol=1e-4) for i, s in e.items())
+
+
+def test_isolation_forest_is_registered_with_300_trees(spark, sf):
+    x = trends(cluster_events(spark, sf)).select("cluster_id", "recent", "growth", "slope", "resurgence", "peak_ratio")
+    want = cluster.isolation_scores(cluster.robust_scaled(x, x.columns[1:]), "cluster_id", x.columns[1:], trees=300)
+    got = {r.cluster_id: r.anomaly for r in plans.QUERIES["K11_K12_isolation_forest"](spark, sf).collect()}
+    assert got == {r.cluster_id: pytest.approx(r.anomaly, abs=1e-6) for r in want.collect()}
