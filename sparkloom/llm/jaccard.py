@@ -9,6 +9,8 @@ bound closes most groups, and only the members of those that qualify are compare
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -218,6 +220,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, share: int = 160
         links = found if links is None else links.unionByName(found)
         groups = cut(components(links, "a", "b"))
 
+    reach = math.ceil(math.log(100 / percent) / math.log(1.1)) + 1  # bands that sets which may link lie apart at most
     # the rest, exactly: a document against each other group of like size that shares an indexed shingle with it
     now = _labelled(posts, groups).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).cast("long"))
     whole = groups.groupBy(F.col("component").alias("g")).agg(F.count("*").alias("whole"))
@@ -227,7 +230,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, share: int = 160
     extent = members.groupBy("g", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     asks = now.select("s", "doc_id", "n", F.col("g").alias("own"), F.col("whole").alias("own_whole"), F.col("band").alias("own_band"))
     # of two groups the smaller one asks
-    met = asks.join(matrix, "s").where("struct(own_whole, own) < struct(whole, g)").where(F.abs(F.col("band") - F.col("own_band")) <= 4)
+    met = asks.join(matrix, "s").where("struct(own_whole, own) < struct(whole, g)").where(F.abs(F.col("band") - F.col("own_band")) <= reach)
     met = met.groupBy("doc_id", "n", "g", "whole", "band").agg(F.count("*").alias("c")).join(extent, ["g", "band"])
     met = met.where((100 * F.col("hi") >= percent * F.col("n")) & (percent * F.col("lo") <= 100 * F.col("n")))
     least = F.greatest(F.col("lo"), F.ceil(percent * F.col("n") / 100))

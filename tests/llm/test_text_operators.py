@@ -92,6 +92,15 @@ def test_jaccard_join_on_empty_null_and_repeated_rows(spark):
     assert sorted(tuple(r) for r in jaccard.similar(df).collect()) == [(1, 2, 1), (1, 2, 1), (5, 2, 1)]
 
 
+def test_jaccard_links_sizes_far_apart_at_low_percent(spark):
+    texts = []
+    for g in range(8):  # the long text leads the two others' shingles but links with neither
+        w = [f"g{g}w{k}" for k in range(1064)]
+        texts += [(3 * g, " ".join(w)), (3 * g + 1, " ".join(w[:104])), (3 * g + 2, " ".join(w[:164]))]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), percent=60, share=1, rounds=1).collect()}
+    assert got == {(3 * g + k, n, 3 * g + (k > 0)) for g in range(8) for k, n in enumerate((1060, 100, 160))}
+
+
 def test_byte_bpe_equals_tiktoken(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = bytebpe.read_ranks(path)
