@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, mix, pieces, Words
+from .common import arrow_map, cut, eights, mix, packed, pieces, Words
 
 FEATURES = 6
 ENDINGS = 2048  # hashed endings of up to 3 bytes; the last is the end token's own
@@ -41,7 +41,7 @@ class Tokens:
         self.h[words] = w.hashes()
         self.ending = np.full(self.first[-1], ENDINGS - 1, np.int64)
         stop = w.end - ((w.end > w.start + 1) & np.isin(w.data[w.end - 1], np.frombuffer(b".,;:!?", np.uint8))) if len(w.end) else w.end
-        self.ending[words] = (w.span(np.maximum(w.start, stop - 3), stop) % np.uint64(ENDINGS - 1)).astype(np.int64)
+        self.ending[words] = (mix(packed(eights(w.data), np.maximum(w.start, stop - 3), stop, 3)) % np.uint64(ENDINGS - 1)).astype(np.int64)
         self.row = np.repeat(np.arange(n), np.diff(self.first))
         self.place = np.arange(self.first[-1]) - self.first[self.row]
 

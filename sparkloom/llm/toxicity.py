@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import Words, arrow_map, fresh, held_out, pieces
+from .common import Words, arrow_map, eights, fresh, held_out, mix, packed, pieces, release, span_hashes
 
 FEATURES = 3
 WIDTHS = (1, 2, 3)
@@ -25,21 +25,21 @@ _PUNCTUATION[list(b".,;:!?\"')(|")] = True
 
 
 def features(column, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets (words by FEATURES, from 1 on) and the n + 1 offsets of the rows. A-Z count as a-z; the last two marks of a word don't count."""
+    """Feature buckets (words by FEATURES, from 1 on) and the n + 1 offsets of the rows. A-Z count as a-z; the last two marks of a word and one before it don't count."""
     w = Words(column)
     start, end = w.start, w.end
     for _ in range(2):
         end = end - ((end > start + 1) & _PUNCTUATION[w.data[end - 1]])
     start = start + ((end > start + 1) & _PUNCTUATION[w.data[start]])
-    shift, one = np.uint64(64 - bits), np.uint64(1)
-    spans = (end, np.minimum(end, start + 4), np.minimum(end, start + 6))
-    out = np.stack([(w.span(start, e) * np.uint64(2 * k + 0x9E3779B97F4A7C15) >> shift) for k, e in enumerate(spans)], 1) if len(start) else np.zeros((0, FEATURES), np.uint64)
-    return np.maximum(out, one).astype(np.int64), w.first
+    view = eights(w.data)
+    raw = (span_hashes(w.data, start, end), packed(view, start, end, 4) + np.uint64(1 << 61), packed(view, start, end, 6) + np.uint64(1 << 62))
+    out = np.stack([np.maximum(mix(x) >> np.uint64(64 - bits), np.uint64(1)) for x in raw], 1)
+    return out.astype(np.uint16 if bits <= 16 else np.uint32), w.first
 
 
 def _padded(buckets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two rows of bucket 0, whose embedding is zero, after each text; and the texts' starts."""
-    gap = max(WIDTHS) - 1
+    """Rows of bucket 0, whose embedding is zero, after each text, as many as the widest filter, so that an empty text has a window as well; and the texts' starts."""
+    gap = max(WIDTHS)
     n = len(first) - 1
     out = np.zeros((len(buckets) + gap * n, FEATURES), np.int64)
     owner = np.repeat(np.arange(n), np.diff(first))
@@ -170,47 +170,47 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logits - shift, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, longest: int = 2_000, bits: int = 16) -> ToxicityModel:
-    """Trains on labelled documents that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most_bytes: int = 64 << 20, bits: int = 16) -> ToxicityModel:
+    """Trains on whole labelled documents that are not held out.
 
-    Of all labelled rows, a bounded sample of about sample is chosen by a hash of doc_id; a longer text gives its words in
-    windows of longest words spread evenly over the whole of it, so that the sample's memory is bounded as well.
-    A fifth of the sample sets the thresholds and trains nothing. Null labels and documents without a label teach nothing.
+    Of all labelled rows, a bounded sample is chosen by a hash of doc_id: about sample rows, and fewer where their texts
+    would have more than most_bytes together. A fifth of it sets the thresholds and trains nothing. Null labels and documents
+    without a label teach nothing; null, empty and blank texts are texts without words.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
-    total = known.count()
-    part = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(total, 1))))
+    slot = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20))
+    share = min(1.0, sample / max(known.count(), 1))
     # the sample bounds what is broadcast: ids and labels
-    rows = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("doc_id", "toxic", "text")
+    chosen = lambda share: docs.select("doc_id", "text").join(F.broadcast(known.where(slot < int((1 << 20) * share))), "doc_id").select("doc_id", "toxic", "text")
+    size = chosen(share).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    share *= min(1.0, most_bytes / max(size, 1))
 
     def read(batches):
         for batch in pieces(batches):
             buckets, first = features(batch.column(2), bits)
-            out = []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                own = buckets[a:b]
-                if len(own) > longest:
-                    at = np.linspace(0, len(own) - longest // 10, 10).astype(int)
-                    own = np.concatenate([own[i : i + longest // 10] for i in at])
-                out.append(own.astype("<u4").tobytes())
+            buckets = buckets.astype("<u4").tobytes()
+            out = [buckets[4 * FEATURES * a : 4 * FEATURES * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "words"])
 
     model = ToxicityModel(bits=bits)
-    got = arrow_map(rows, read, "doc_id long, toxic int, words binary").toArrow().sort_by("doc_id")
+    got = arrow_map(chosen(share), read, "doc_id long, toxic int, words binary").toArrow().sort_by("doc_id")
     ids = got.column("doc_id").to_numpy()
     y = got.column("toxic").to_numpy().astype(np.int64)
-    words = [np.frombuffer(x, "<u4").reshape(-1, FEATURES).astype(np.int64) for x in got.column("words").to_pylist()]
+    narrow = np.uint16 if bits <= 16 else np.uint32
+    words = [np.frombuffer(x.as_buffer() or b"", "<u4").astype(narrow).reshape(-1, FEATURES) for x in got.column("words")]
+    del got
     aside = ids % 5 == 2 if len(ids) >= 200 else np.zeros(len(ids), bool)
     model.train([w for w, a in zip(words, aside, strict=True) if not a], y[~aside])
     if len(ids):
         check = aside if aside.any() else ~aside
-        tested = [w for w, a in zip(words, check, strict=True) if a]
+        logits = np.array([model._logits(w, np.array([0, len(w)]))[0] for w, a in zip(words, check, strict=True) if a])
+        del words
         model.languages = langid.fit(docs)
-        logits = np.array([model._logits(w, np.array([0, len(w)]))[0] for w in tested])
         tried = docs.sparkSession.createDataFrame([(int(i),) for i in ids[check]], "doc_id long").distinct()
-        chosen = docs.select("doc_id", "text").join(F.broadcast(tried), "doc_id")
-        said = {r.doc_id: r.lang_pred for r in langid.identify(chosen, model.languages).select("doc_id", "lang_pred").collect()}
+        asked = docs.select("doc_id", "text").join(F.broadcast(tried), "doc_id")
+        said = {r.doc_id: r.lang_pred for r in langid.identify(asked, model.languages).select("doc_id", "lang_pred").collect()}
         model.calibrate(logits, y[check], [said.get(int(i), "und") for i in ids[check]])
+    release()
     return model
 
 

@@ -44,6 +44,29 @@ def test_words_hash_alike_exactly_when_equal():
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(bits=10):
+    """A word and its complement, which polynomial hashes modulo a power of two can't tell apart."""
+    word = ""
+    for i in range(1 << bits):
+        word += "ab"[bin(i).count("1") % 2]
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [6, 10, 12])
+def test_words_of_one_pattern_hash_apart(bits):
+    a, b = thue_morse(bits)
+    assert len(set(common.Words(pa.array([a, b, a + "x"])).hashes().tolist())) == 3
+
+
+def test_spans_compare_byte_by_byte():
+    texts = ["", "a", "abcdefgh", "abcdefghi", "abcdefghj", "x" * 64, "x" * 65, "x" * 64 + "y", "x" * 200, "x" * 199 + "y"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    start = end - [len(t) for t in texts]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts))))
+    assert common.same_bytes(data, start[i], end[i], data, start[j], end[j]).tolist() == (i == j).tolist()
+
+
 def brute_components(rows, k=5, percent=80):
     sets = {}
     for i, t in rows:
@@ -71,7 +94,7 @@ def test_jaccard_join_equals_brute_force(spark, share):
     vocabulary = [f"w{i}" for i in range(400)]
     base = [list(r.choice(vocabulary, r.integers(3, 60))) for _ in range(25)]
     passage = list(r.choice(vocabulary, 40))
-    texts = list(ODD) + list(ODD[-4:])
+    texts = list(ODD) + list(ODD[-4:]) + list(thue_morse()) + [f"{x} is one word of five" for x in thue_morse()]
     for _ in range(220):  # near copies at all distances, many around the threshold, and a passage that many share
         b = list(base[r.integers(len(base)) if r.random() < 0.6 else 0])
         for _ in range(r.integers(0, 5)):
@@ -120,19 +143,39 @@ def test_byte_bpe_equals_tiktoken(spark):
 def test_chunk_encoder_equals_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     peer = Tokenizer.from_file(path)
-    peer.encode_special_tokens = True
     mine = ChunkEncoder(path, most=20)
-    for t in [x for x in ODD if x] + ["It's <|endoftext|> ÉÈ ÇA 12 don't", "İstanbul ΣΑΣ", "á ́b", "x\x1fy z"]:
+    texts = [x for x in ODD if x] + ["It's <|endoftext|> ÉÈ ÇA 12 don't", "a<|endoftext|><|startoftext|>b.", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "İstanbul ΣΑΣ", "á ́b", "x\x1fy z", "¯ ¢ ×", *thue_morse()]
+    for t in texts:
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == peer.encode(t, add_special_tokens=False).ids, t
+    ids, first = mine.encode_column(pa.array([*texts, None]), 2)
+    for t, a, b in zip([*texts, ""], first[:-1], first[1:], strict=True):
+        assert ids[a:b].tolist() == [*peer.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_chunk_encoder_tells_words_of_one_hash_apart(monkeypatch):
+    from sparkloom.llm import wordpieces
+
+    monkeypatch.setattr(wordpieces, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+    peer = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    mine = ChunkEncoder(path)
+    for t in ["one two six ten", "two owt one", "three seven"] * 2:
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == peer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_chunk_encoder_refuses_other_tokenizers(tmp_path):
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own.normalizer = None  # upper case is told from lower case
+    own.save(str(tmp_path / "own.json"))
+    with pytest.raises(ValueError):
+        ChunkEncoder(str(tmp_path / "own.json"))
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 3, 64), packing.Limits(64, 8, 20)])
 def test_packing_keeps_all_limits_and_every_token(spark, limits):
     texts = ODD + [f"some words {i} and more " * (i % 7) for i in range(200)]
     docs = docs_of(spark, texts).repartition(3)
     rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), limits=limits).toPandas()
     peer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    peer.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = np.array(peer.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()
         own = rows[rows.doc_id == i].sort_values("start")
@@ -209,6 +252,48 @@ def test_toxicity_held_out_and_odd_rows(spark, sf):
     assert len(toxicity.score(odd, empty).collect()) == len(ODD)
 
 
+def test_training_with_empty_texts_at_every_place():
+    r = np.random.default_rng(8)
+    texts = [toxicity.features(pa.array([" ".join(r.choice(["bad", "good", "so", "x"], n))]), 8)[0] for n in (3, 1, 2, 5, 4)]
+    for at in range(6):
+        model = toxicity.ToxicityModel(bits=8)
+        some = texts[:at] + [texts[0][:0]] + texts[at:]
+        model.train(some, np.array([i % 2 for i in range(6)]), epochs=2, batch=3)
+        assert np.isfinite(model._logits(np.concatenate(some), np.cumsum([0, *map(len, some)]))).all()
+
+
+def test_gradient_steps_lower_the_loss_like_numeric_gradients():
+    texts = pa.array(["alpha beta gamma", "", "delta beta", "x y z alpha"])
+    labels = np.array([1, 0, 0, 1])
+    buckets, first = toxicity.features(texts, 8)
+    own = [buckets[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def loss(m):
+        x = m._logits(buckets, first)
+        return np.mean(np.log1p(np.exp(-np.where(labels == 1, x, -x))))
+
+    model = toxicity.ToxicityModel(bits=8)
+    before, e0, v0, k0 = loss(model), model.e.copy(), model.v.copy(), [k.copy() for k in model.k]
+    moved = toxicity.ToxicityModel(bits=8)
+    moved.train(own, labels, epochs=1, batch=4, rate=1e-3)
+    # Adagrad's first step goes against the sign of the gradient, weight by weight
+    for name, old, new in (("v", v0, moved.v), ("k", k0[1], moved.k[1])):
+        flat = np.argsort(-np.abs(new - old).ravel())[:12]
+        for i in flat:
+            probe = toxicity.ToxicityModel(bits=8)
+            (probe.v if name == "v" else probe.k[1]).reshape(-1)[i] += 1e-2
+            slope = loss(probe) - before
+            assert abs(slope) < 1e-6 or np.sign(slope) == -np.sign((new - old).ravel()[i])
+    assert loss(moved) < before and not np.array_equal(moved.e, e0) and (moved.e[0] == 0).all()
+
+
+def test_toxicity_fits_odd_labelled_texts(spark):
+    texts = [*ODD, *ODD, "you are bad bad", "fine day"] * 3
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))] + [(None, 1), (3, None), (4, 7)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, texts), labels, most_bytes=100_000)
+    assert toxicity.score(docs_of(spark, ODD), model).count() == len(ODD)
+
+
 def test_pooling_equals_a_plain_loop():
     model = toxicity.ToxicityModel(bits=8)
     texts = pa.array(["one two three", "", None, "x", "alpha beta gamma delta " * 9])
@@ -216,7 +301,7 @@ def test_pooling_equals_a_plain_loop():
     pooled, _, _ = model._pooled(buckets, first)
     for i in range(len(texts)):
         x = model.e[buckets[first[i] : first[i + 1]]].sum(1)
-        x = np.concatenate([x.reshape(-1, model.size), np.zeros((2, model.size))])
+        x = np.concatenate([x.reshape(-1, model.size), np.zeros((3, model.size))])
         at = 0
         for w, k, b in zip(toxicity.WIDTHS, model.k, model.b, strict=True):
             for f in range(model.filters):
