@@ -18,13 +18,14 @@ EXPANSION = {"image": (256, 85), "audio": (25, 25), "document": (600, 600)}
 
 
 def escaped(text: Column) -> Column:
-    """A backslash is doubled and ``<|`` gets one in between, so that no ``<|`` is left; see unescaped."""
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    """A backslash is doubled, ``<|`` gets one in between, and a ``<`` at the end becomes ``<\\.``, so that neither a piece nor pieces side by side hold ``<|``; see unescaped."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    return F.when(F.endswith(out, F.lit("<")), F.concat(out, F.lit("\\."))).otherwise(out)
 
 
 def unescaped(text: Column) -> Column:
-    """Undoes escaped. ``<\\|`` with a single backslash can only come from ``<|``: all others stand in pairs."""
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+    """Undoes escaped. ``<\\|`` and ``<\\.`` with a single backslash can only come from ``<|`` and a last ``<``: all others stand in pairs."""
+    return F.replace(F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("<\\."), F.lit("<")), F.lit("\\\\"), F.lit("\\"))
 
 
 def escaped_role(role: Column) -> Column:
