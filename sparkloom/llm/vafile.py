@@ -1,9 +1,10 @@
 """Exact top-k inner-product search with vector-approximation files.
 
-Vectors lie in blocks. A block holds, beside its exact vectors, an approximation: for every dimension the values are cut into
-quantised cells of 4 bits, each with the smallest and largest value in it. A query scans the cells, which bound its score
-with every vector from both sides; then it reads exact vectors in the order of their bounds, until the kth best score is at
-least every bound that is left.
+Vectors lie in blocks. A block holds, beside its exact vectors, an approximation: every dimension's range is cut into 16
+quantised cells, which stand for their middles. One product of a query with the middles bounds its scores with all vectors
+from both sides, as no value lies farther from its middle than the dimension's largest deviation. Then exact vectors are
+read in the order of their bounds, until the kth best score is at least every bound that is left. A query searches one block
+first: the kth score found there closes most of all other blocks.
 """
 
 from __future__ import annotations
@@ -24,46 +25,42 @@ class Block:
     """The cells and exact vectors of one block: ids (int64) and vectors (int64, rows by dimensions)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        n, d = vectors.shape
-        edges = np.quantile(vectors, np.linspace(0, 1, CELLS + 1)[1:-1], axis=0) if n else np.zeros((CELLS - 1, d))
-        self.cells = np.zeros((n, d), np.uint8)
-        self.low, self.high = np.zeros((d, CELLS)), np.zeros((d, CELLS))
-        for k in range(d):
-            cell = np.searchsorted(edges[:, k], vectors[:, k], side="right")
-            self.cells[:, k] = cell
-            for c in np.unique(cell):
-                own = vectors[cell == c, k]
-                self.low[k, c], self.high[k, c] = own.min(), own.max()
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the scores (queries by vectors), from the cells alone."""
-        at = np.arange(self.cells.shape[1])
-        low, high = self.low[at, self.cells].T, self.high[at, self.cells].T
-        plus, minus = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-        slack = 1e-12 * (np.abs(queries).astype(float).sum(1)[:, None] + 1) * max(1.0, np.abs(self.vectors).max(initial=0))
-        return plus @ low + minus @ high - slack, plus @ high + minus @ low + slack
-
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, at_once: int = 128):
-        """Yields (query's place, vec_ids, scores): its k best vectors but its own, by score, then by the smaller vec_id. Also counts reads."""
-        self.read = 0
+        self.ids, self.vectors, self.read = ids, vectors, 0
+        low, high = (vectors.min(0), vectors.max(0)) if len(vectors) else (np.zeros(vectors.shape[1]),) * 2
+        self.low, self.width = low.astype(float), np.maximum((high - low).astype(float) / CELLS, 1e-9)
+        self.cells = np.minimum((vectors - self.low) / self.width, CELLS - 1).astype(np.uint8)
+        self.middles = (self.low + (self.cells + 0.5) * self.width).astype(np.float32)
+        self.deviation = np.abs(vectors - self.middles.astype(float)).max(0, initial=0)
+        # what rounding may add to a product in single precision
+        self.rounding = (vectors.shape[1] + 2) * 2.0**-23 * np.abs(self.middles.astype(float)).max(0, initial=0)
+
+    def approximate(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by the cells' middles (queries by vectors), and how far each query's exact scores may lie from them."""
+        return queries.astype(np.float32) @ self.middles.T, np.abs(queries).astype(float) @ (self.deviation + self.rounding) + 1e-3
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None, at_once: int = 128):
+        """Yields (query's place, vec_ids, scores): its k best vectors but its own, by score, then by the smaller vec_id. Also counts reads.
+
+        floors: scores that k vectors elsewhere are known to reach; vectors below may be left out.
+        """
         for begin in range(0, len(ids), at_once):
             part = queries[begin : begin + at_once]
-            lower, upper = self.bounds(part)
+            about, error = self.approximate(part)
             for row in range(len(part)):
-                low, high = lower[row], upper[row]
-                own = self.ids == ids[begin + row]
-                low[own], high[own] = -np.inf, -np.inf
-                left = len(self.ids) - int(own.sum())
-                want = min(k, left)
+                scores_near, slack = about[row].astype(float), error[row]
+                own = np.flatnonzero(self.ids == ids[begin + row])
+                scores_near[own] = -np.inf
+                want = min(k, len(self.ids) - len(own))
                 if not want:
                     continue
-                sure = np.partition(low, len(low) - want)[len(low) - want]  # the kth score is no less
-                order = np.flatnonzero((high >= sure) & ~own)
-                order = order[np.argsort(-high[order], kind="stable")]
+                floor = -np.inf if floors is None else floors[begin + row]
+                if not np.isfinite(floor):
+                    floor = np.partition(scores_near, len(scores_near) - want)[len(scores_near) - want] - slack  # the kth score is no less
+                order = np.flatnonzero(scores_near + slack >= floor)
+                order = order[np.argsort(-scores_near[order], kind="stable")]
                 seen, scores, step = 0, np.zeros(0, np.int64), max(4 * k, 64)
                 while seen < len(order):
-                    if seen >= want and np.partition(scores, len(scores) - want)[len(scores) - want] > high[order[seen]]:
+                    if seen >= want and np.partition(scores, len(scores) - want)[len(scores) - want] > scores_near[order[seen]] + slack:
                         break
                     take = order[seen : seen + step]
                     scores = np.concatenate([scores, self.vectors[take] @ part[row]])
@@ -72,7 +69,9 @@ class Block:
                 self.read += seen
                 found = self.ids[order[:seen]]
                 best = np.lexsort((found, -scores))[:want]
-                yield begin + row, found[best], scores[best]
+                best = best[scores[best] >= floor]
+                if len(best):
+                    yield begin + row, found[best], scores[best]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 16384, query_block: int = 2048) -> DataFrame:
@@ -81,10 +80,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 1638
     vectors, queries: vec_id (whole numbers) and v, an array of whole numbers (below 2**24 in size, so that sums stay exact);
     other columns are ignored. Ties go to the smaller vec_id; a query's own vec_id is no candidate of it. Rows with a null id
     or a null v, or with nulls in v, take no part; vectors meet only queries of the same length (an empty one scores 0 with
-    empty ones). Repeated vec_ids are separate candidates. Without vectors or queries the result is empty.
+    empty ones). Repeated vec_ids are separate candidates, and repeated queries get k rows each, with ranks of their own.
+    Without vectors or queries the result is empty.
 
     Vectors and queries are dealt in turn into blocks of bounded size, and each pair of blocks is one row of work; what
-    a pair returns is k rows per query, so nothing grows with a vector's popularity, and a lost task repeats by itself.
+    a pair returns is k rows per query at most, so nothing grows with a vector's popularity, and a lost task repeats by
+    itself. First each block of queries meets one block of vectors, then all, with the kth scores found in the first.
     """
     whole = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v"), F.size("v").alias("d")).where("vec_id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
     base, asked = whole(vectors), whole(queries)
@@ -105,22 +106,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 1638
         return dealt_out.groupBy("d", key).applyInArrow(one, f"{key} int, d int, {key}_ids binary, {key}_v binary, {key}_kind string")
 
     left = cut(dealt(base, blocks, "b"))
-    right = cut(dealt(asked, parts, "q")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = cut(dealt(asked, parts, "q"))
 
-    def pair(table: pa.Table) -> pa.Table:
-        row = table.to_pylist()[0]
+    def read(row, key):
+        ids = np.frombuffer(row[f"{key}_ids"], "<i8")
+        return ids, np.frombuffer(row[f"{key}_v"], row[f"{key}_kind"]).astype(np.int64).reshape(len(ids), row["d"])
 
-        def read(key):
-            ids = np.frombuffer(row[f"{key}_ids"], "<i8")
-            return ids, np.frombuffer(row[f"{key}_v"], row[f"{key}_kind"]).astype(np.int64).reshape(len(ids), row["d"])
+    def first(table: pa.Table) -> pa.Table:
+        row = table.to_pylist()[0]
+        q, asked_for = read(row, "q")
+        floors = np.full(len(q), -np.inf)
+        for place, _, scores in Block(*read(row, "b")).search(q, asked_for, k):
+            if len(scores) == k:
+                floors[place] = scores[-1]
+        return pa.table({"q": table.column("q")[:1], "d": table.column("d")[:1], "floors": [floors.astype("<f8").tobytes()]})
 
-        q, asked_for = read("q")
-        out = list(Block(*read("b")).search(q, asked_for, k))
-        whose = np.repeat(q[[o[0] for o in out]], [len(o[1]) for o in out]) if out else q[:0]
+    def pair(table: pa.Table) -> pa.Table:
+        row = table.to_pylist()[0]
+        q, asked_for = read(row, "q")
+        floors = np.frombuffer(row["floors"], "<f8") if row["floors"] else None
+        out = list(Block(*read(row, "b")).search(q, asked_for, k, floors))
+        place = np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64) if out else q[:0]
         join = lambda i: np.concatenate([o[i] for o in out]) if out else q[:0]
-        return pa.table({"query_id": whose, "vec_id": join(1), "score": join(2)})
+        fixed = lambda c, kind: pa.array(np.full(len(place), row[c]), kind)
+        return pa.table({"q": fixed("q", pa.int32()), "d": fixed("d", pa.int32()), "place": place, "query_id": q[place], "vec_id": join(1), "score": join(2)})
 
     # a pair of blocks is a group of one row, so that a worker holds one pair at a time
-    found = left.join(right, ["b", "d"]).groupBy("b", "q", "d").applyInArrow(pair, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    known = left.join(right.withColumn("b", F.pmod("q", F.lit(blocks))), ["b", "d"]).groupBy("b", "q", "d").applyInArrow(first, "q int, d int, floors binary")
+    every = right.join(cut(known), ["q", "d"], "left").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = left.join(every, ["b", "d"]).groupBy("b", "q", "d").applyInArrow(pair, "q int, d int, place long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("q", "d", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
