@@ -66,17 +66,28 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(same / F.lit(float(samples)))
 
 
-def numbered(docs: DataFrame, width: int = 512) -> DataFrame:
+def numbered(docs: DataFrame, width: int = 512, most: int = 1 << 14) -> DataFrame:
     """docs (doc_id, text) dealt by block, with block and pos, which tell all rows apart.
 
-    Blocks are equal ranges of doc_id, rising with it, of about width rows where ids are dense; pos counts a block's rows by
-    descending doc_id, then text. A null doc_id comes last, in the lowest block. A partition gets about four blocks.
+    Blocks rise with doc_id; pos counts a block's rows by descending doc_id, then text, so rows by descending block, then
+    pos, descend by doc_id. Blocks end at quantiles of doc_id, one for about width rows, and most at the utmost: then blocks
+    grow. Rows of an id that spans several blocks are spread over them, and rows without an id, which come last, over as
+    many as their number asks for. A partition gets about four blocks.
     """
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    step = max(1, math.ceil((high - low + 1) / max(1, math.ceil(n / width)))) if low is not None else 1
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(step)), F.lit(0)).cast("long")
+    n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    count = min(most, math.ceil(known / width))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 8 * count)).first()[0] if count > 1 else []
+    none = max(1, min(most, math.ceil((n - known) / width)))
+    steps = F.array(*[F.lit(1 << k) for k in range(max(1, len(cuts)).bit_length() - 1, -1, -1)])
+    limits = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    # of the sorted limits, how many are below doc_id, or below or equal, by bisection
+    bisect = lambda fits: F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(fits(F.get(limits, at + step - 1), F.col("doc_id")), step).otherwise(0))
+    low, high = (bisect(lambda x, y: x < y), bisect(lambda x, y: x <= y)) if cuts else (F.lit(0), F.lit(0))
+    some = F.xxhash64("text", F.monotonically_increasing_id())
+    block = F.when(F.col("doc_id").isNull(), -1 - F.pmod(some, F.lit(none))).otherwise(F.col("low") + F.pmod(some, F.col("high") - F.col("low") + 1)).cast("long")
     order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
-    return docs.withColumn("block", block).repartition(max(4, math.ceil(n / (4 * width))), "block").withColumn("pos", F.row_number().over(order))
+    dealt = docs.withColumns({"low": low, "high": high}).withColumn("block", block).drop("low", "high")
+    return dealt.repartition(max(4, min(most, math.ceil(n / (4 * width)))), "block").withColumn("pos", F.row_number().over(order))
 
 
 def with_next(rows: DataFrame, column: str) -> DataFrame:
@@ -100,7 +111,7 @@ def fingerprints(docs: DataFrame, width: int = 512) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document,
-    by descending doc_id (after the last: the first; rows with equal ids by their texts; a null id last). docs: doc_id and
+    by descending doc_id (after the last: the first; rows with equal ids in an order of their own; a null id last). docs: doc_id and
     text (null: empty); other columns are ignored; repeated rows give rows of their own. An empty table gives an empty result.
     """
     keys = ["block", "pos"]
