@@ -1,10 +1,12 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The next token's class is predicted by a log-linear model over hashed n-gram and skip features of the tokens and classes before
-it; the softmax is factored by class: p(word | before) = p(class | before) p(word | class). Classes group words by their
-endings so that endings found among the same neighbours share a class. Weights come from distributed gradient updates: each
-partition follows its own gradients from shared weights, and what the partitions learned is averaged, feature by feature.
-Texts are scored in sparse numpy batches: per token, six rows of the weight table.
+Words are the leaves of a tree of classes: a class groups words by their endings, so that endings found among the same
+neighbours share a class, and within a class words are dealt into groups by their hash. The softmax is factored along the
+tree: p(word | before) = p(digit 1 | before) p(digit 2 | before, digit 1) ... p(word | leaf). Every digit is predicted by a
+log-linear model over hashed n-gram and skip features of the tokens and classes before it, and only the word within its leaf,
+which few frequent words share, by its count. Weights come from distributed gradient updates: each partition follows its own
+gradients from shared weights, and what the partitions learned is averaged, row by row of the table. Texts are scored in
+sparse numpy batches: per token and digit, four rows of the weight table.
 """
 
 from __future__ import annotations
@@ -20,16 +22,24 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, eights, mix, packed, pieces, Words
 
-FEATURES = 6
+FEATURES = 4
+DIGIT = 8  # branches of a node
+CLASS_DIGITS, WORD_DIGITS = 2, 1  # levels of the tree: those of the class, and those of the word's hash within it
+LEVELS = CLASS_DIGITS + WORD_DIGITS
+CLASSES, GROUPS = DIGIT**CLASS_DIGITS, DIGIT**WORD_DIGITS
+LEAVES = CLASSES * GROUPS
 ENDINGS = 2048  # hashed endings of up to 3 bytes; the last is the end token's own
 NEIGHBOURS = 128
-BATCH = 2048  # positions of one gradient step
+BATCH = 16384  # positions of one gradient step
 _SALT = mix(np.arange(1, FEATURES + 1, dtype=np.uint64))
 _END, _START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A4757A4757A475)
+#: Of each level, the number of its first node; nodes are counted level by level.
+_FIRST = np.cumsum([0] + [DIGIT**k for k in range(LEVELS)])
+_NODE = mix(np.arange(1, _FIRST[-1] + 1, dtype=np.uint64))
 
 
 class Tokens:
-    """Tokens of the rows of an Arrow string column: words, then one end. h: hashes, ending: hashed endings, first: the rows' places."""
+    """Tokens of the rows of an Arrow string column: words, then one end. h: hashes, ending: hashed endings, group: within the class, first: the rows' places."""
 
     def __init__(self, column) -> None:
         w = Words(column)
@@ -42,6 +52,7 @@ class Tokens:
         self.ending = np.full(self.first[-1], ENDINGS - 1, np.int64)
         stop = w.end - ((w.end > w.start + 1) & np.isin(w.data[w.end - 1], np.frombuffer(b".,;:!?", np.uint8))) if len(w.end) else w.end
         self.ending[words] = (mix(packed(eights(w.data), np.maximum(w.start, stop - 3), stop, 3)) % np.uint64(ENDINGS - 1)).astype(np.int64)
+        self.group = (mix(self.h) >> np.uint64(17)).astype(np.int64) % GROUPS
         self.row = np.repeat(np.arange(n), np.diff(self.first))
         self.place = np.arange(self.first[-1]) - self.first[self.row]
 
@@ -52,14 +63,24 @@ class Tokens:
         out[self.place < k] = start
         return out
 
-    def features(self, classes: np.ndarray, bits: int, pick=slice(None)) -> np.ndarray:
-        """Rows of the weight table for each picked token: n-grams of 1 and 2 words, skips over 1 and 2, a class bigram and a skip of classes."""
-        w1, w2, w3 = (self.before(self.h, k, _START)[pick] for k in (1, 2, 3))
+    def features(self, classes: np.ndarray) -> np.ndarray:
+        """Hashes of each token's features (features by tokens): the word before, the word before that (a skip), a bigram of classes and a skip of classes."""
+        w1, w2 = (self.before(self.h, k, _START) for k in (1, 2))
         c = classes[self.ending].astype(np.uint64)
-        c1, c2, c3 = (self.before(c, k, np.uint64(len(classes)))[pick] for k in (1, 2, 3))
+        c1, c2, c3 = (self.before(c, k, np.uint64(len(classes))) for k in (1, 2, 3))
         b = np.uint64(1 << 20)
-        raw = (w1, w1 * np.uint64(31) + mix(w2), w2, w3, c1 * b + c2, c2 * b + c3 + np.uint64(1 << 50))
-        return np.stack([mix(x + _SALT[k]) >> np.uint64(64 - bits) for k, x in enumerate(raw)], 1).astype(np.int64)
+        raw = (w1, w2, c1 * b + c2, c2 * b + c3 + np.uint64(1 << 50))
+        return np.stack([mix(x + _SALT[k]) for k, x in enumerate(raw)])
+
+
+def rows_of(features: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of the weight table (features by tokens) for the features at a node of each token."""
+    return (((features ^ _NODE[nodes]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def path(leaves: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The node and the digit of each leaf, level by level."""
+    return [(_FIRST[k] + leaves // DIGIT ** (LEVELS - k), leaves // DIGIT ** (LEVELS - 1 - k) % DIGIT) for k in range(LEVELS)]
 
 
 def _classes(neighbours: np.ndarray, levels: int) -> np.ndarray:
@@ -85,12 +106,13 @@ def _classes(neighbours: np.ndarray, levels: int) -> np.ndarray:
 
 @dataclass
 class MaxEnt:
-    """classes: of each ending. bias, weights: of the class model. size, kinds: training tokens and types of each class. top, top_count: the commonest types."""
+    """classes: of each ending. bias: of each node's digits. weights, seen: the table and its squared gradients. size, kinds: training tokens and types of each leaf. top, top_count: the commonest types."""
 
     classes: np.ndarray
     bits: int
     bias: np.ndarray
     weights: np.ndarray
+    seen: np.ndarray
     size: np.ndarray
     kinds: np.ndarray
     top: np.ndarray
@@ -105,47 +127,71 @@ class MaxEnt:
         """The probability of the one type that stands for all that training doesn't have."""
         return 0.5 / (self.tokens + 0.5 * (int(self.kinds.sum()) + 1))
 
-    def log_class(self, features: np.ndarray) -> np.ndarray:
-        """Log probabilities of all classes (tokens by classes)."""
-        out = self._logits(features)
-        out -= out.max(1, keepdims=True)
-        out -= np.log(np.exp(out).sum(1, keepdims=True))
-        return out
+    def leaves(self, t: Tokens) -> np.ndarray:
+        return self.classes[t.ending] * GROUPS + t.group
 
-    def _logits(self, features: np.ndarray) -> np.ndarray:
-        out = self.weights.take(features[:, 0], 0)
-        out += self.bias
-        for k in range(1, FEATURES):
-            out += self.weights.take(features[:, k], 0)
+    def logits(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Of all digits of a node of each token, less the largest (digits by tokens)."""
+        out = self.bias.take(nodes, 0)
+        for own in rows:
+            out += self.weights.take(own, 0)
+        out = np.ascontiguousarray(out.T)
+        out -= out.max(0)
         return out
 
-    def log_own(self, features: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Log probability of one class for each token."""
-        out = self._logits(features)
-        mine, top = np.take_along_axis(out, own[:, None], 1)[:, 0], out.max(1)
-        out -= top[:, None]
-        np.exp(out, out=out)
-        return mine - top - np.log(out.sum(1))
-
-    def terms(self, t: Tokens, at_once: int = 1024) -> np.ndarray:
-        """For each token, log10 of (1 - unknown) p(class | before) / (size + kinds / 2 of the class), to be added to log10(count + 0.5)."""
-        mine = self.classes[t.ending]
-        features = t.features(self.classes, self.bits)
-        out = np.zeros(len(mine))
-        for a in range(0, len(mine), at_once):
+    def terms(self, t: Tokens, at_once: int = 4096) -> np.ndarray:
+        """For each token, log10 of (1 - unknown) p(leaf | before) / (size + kinds / 2 of the leaf), to be added to log10(count + 0.5)."""
+        leaves, features = self.leaves(t), t.features(self.classes)
+        out = np.zeros(len(leaves))
+        for a in range(0, len(leaves), at_once):
             part = slice(a, a + at_once)
-            out[part] = self.log_own(features[part], mine[part])
-        return (out + np.log1p(-self.unknown) - np.log(np.maximum(self.size + 0.5 * self.kinds, 0.5))[mine]) / np.log(10)
-
-
-def _counted(docs: DataFrame):
-    """Types (h, ending, n) of all training tokens, and how often each ending has each hashed neighbour."""
-
-    def words(batches):
+            for nodes, digits in path(leaves[part]):
+                x = self.logits(rows_of(features[:, part], nodes, self.bits), nodes)
+                out[part] += x[digits, np.arange(len(digits))]
+                out[part] -= np.log(np.exp(x, out=x).sum(0))
+        return (out + np.log1p(-self.unknown) - np.log(np.maximum(self.size + 0.5 * self.kinds, 0.5))[leaves]) / np.log(10)
+
+    def step(self, features: np.ndarray, leaves: np.ndarray, used: np.ndarray, rate: float) -> None:
+        """One Adagrad step of the log loss on a batch, feature by feature, on the rows of the table that it uses."""
+        rows, errors, b = [], [], len(leaves)
+        for nodes, digits in path(leaves):
+            own = rows_of(features, nodes, self.bits)
+            p = np.exp(self.logits(own, nodes))
+            p /= p.sum(0)
+            p[digits, np.arange(b)] -= 1
+            rows.append(own)
+            errors.append(p.T)
+        rows, errors = np.stack(rows, 1).reshape(FEATURES, -1), np.concatenate(errors)
+        shift = (LEVELS * BATCH - 1).bit_length()
+        place, mean = np.arange(LEVELS * b), np.full(DIGIT, 1 / DIGIT, np.float32)
+        whole = self.weights.view(f"V{4 * DIGIT}")[:, 0]  # rows as single values, which are stored faster
+        for own in rows:
+            both = np.sort(own << shift | place)  # faster than argsort
+            own, order = both >> shift, both & ((1 << shift) - 1)
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            at, n = own[starts], np.diff(np.append(starts, len(order)))
+            g = errors.take(order[starts], 0)
+            many = n > 1  # most rows are used once in a batch
+            if many.any():
+                size = n[many]
+                g[many] = np.add.reduceat(errors.take(order[np.repeat(many, n)], 0), np.cumsum(size) - size, axis=0)
+            used[at] += n.astype(used.dtype)
+            g *= (1 / np.sqrt(n.astype(np.float32)))[:, None]
+            seen = self.seen[at] + (g * g) @ mean
+            self.seen[at] = seen
+            g *= (np.float32(rate) / np.sqrt(seen + np.float32(1e-3)))[:, None]
+            whole[at] = (self.weights.take(at, 0) - g).view(whole.dtype)[:, 0]
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """Rows (kind, h, e, n). Kind 0: a type of the training tokens, its ending and group, its count. Kind 1: how often an ending has a hashed neighbour (h: the cell)."""
+
+    def count(batches):
         kept, counts, ends, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        near = np.zeros(ENDINGS * NEIGHBOURS, np.int64)
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(ends.astype(np.int32)), pa.array(counts)], ["h", "e", "n"])
+        def out(kind, h, e, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(e.astype(np.int32)), pa.array(n)], ["kind", "h", "e", "n"])
 
         def merge(parts):
             h, e, n = (np.concatenate(x) for x in zip((kept, ends, counts), *parts, strict=True))
@@ -155,121 +201,107 @@ def _counted(docs: DataFrame):
         for batch in pieces(batches):
             t = Tokens(batch.column(0))
             u, first, n = np.unique(t.h, return_index=True, return_counts=True)
-            parts.append((u, t.ending[first], n))
+            parts.append((u, t.ending[first] * GROUPS + t.group[first], n))
+            same = t.row[1:] == t.row[:-1]
+            a, b = t.ending[:-1][same], t.ending[1:][same]
+            for x, y in ((a, b), (b, a)):
+                near += np.bincount(x * NEIGHBOURS + y % NEIGHBOURS, minlength=len(near))
             if sum(len(p[0]) for p in parts) > 1 << 18:
                 kept, ends, counts = merge(parts)
                 parts = []
                 if len(kept) > 1 << 19:
-                    yield out()
+                    yield out(0, kept, ends, counts)
                     kept, counts, ends = kept[:0], counts[:0], ends[:0]
         if parts:
             kept, ends, counts = merge(parts)
-        if len(kept):
-            yield out()
+        yield out(0, kept, ends, counts)
+        full = np.flatnonzero(near)
+        yield out(1, full, np.zeros(len(full), np.int64), near[full])
 
-    def near(batches):
-        total = np.zeros(ENDINGS * NEIGHBOURS, np.int64)
-        for batch in pieces(batches):
-            t = Tokens(batch.column(0))
-            same = t.row[1:] == t.row[:-1]
-            a, b = t.ending[:-1][same], t.ending[1:][same]
-            for x, y in ((a, b), (b, a)):
-                total += np.bincount(x * NEIGHBOURS + y % NEIGHBOURS, minlength=len(total))
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["cell", "n"])
-
-    text = docs.select("text")
-    types = arrow_map(text, words, "h long, e int, n long").groupBy("h").agg(F.min("e").alias("e"), F.sum("n").alias("n"))
-    cells = arrow_map(text, near, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    return types, cells
-
-
-def _step(model: MaxEnt, seen: np.ndarray, used: np.ndarray, features: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One Adagrad step of the log loss on a batch, feature by feature, on the rows of the table that it uses."""
-    p = np.exp(model.log_class(features))
-    p[np.arange(len(target)), target] -= 1
-    for k in range(FEATURES):
-        order = np.argsort(features[:, k], kind="stable")
-        rows = features[order, k]
-        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g = np.add.reduceat(p[order], starts, axis=0)
-        rows, n = rows[starts], np.diff(np.append(starts, len(order)))
-        used[rows] += n
-        g *= (1 / np.sqrt(n)).astype(np.float32)[:, None]
-        seen[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        g *= (rate / np.sqrt(seen[rows] + 1e-3)).astype(np.float32)[:, None]
-        model.weights[rows] -= g
-
-
-def _round(docs: DataFrame, model: MaxEnt, stride: int, turn: int, rate: float, chunk: int = 1024) -> np.ndarray:
-    """The weights after every partition has followed the gradients of its own texts; changes are averaged by use, row by row."""
+    found = arrow_map(docs.select("text"), count, "kind int, h long, e int, n long")
+    return found.groupBy("kind", "h").agg(F.min("e").alias("e"), F.sum("n").alias("n"))
+
+
+def _round(docs: DataFrame, model: MaxEnt, rate: float, chunk: int = 1024) -> None:
+    """Every partition follows the gradients of its own texts, BATCH positions at a time; changes are averaged by use, row by row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    wide = model.weights.shape[1]
+    wide = DIGIT + 1  # weights and squared gradients
 
     def learn(batches):
         start = shared.value
-        mine = MaxEnt(start.classes, start.bits, start.bias, start.weights.copy(), start.size, start.kinds, start.top[:0], start.top_count[:0])
-        seen, used = np.zeros(len(mine.weights), np.float32), np.zeros(len(mine.weights), np.int64)
+        mine = MaxEnt(start.classes, start.bits, start.bias, start.weights.copy(), start.seen.copy(), start.size, start.kinds, start.top[:0], start.top_count[:0])
+        used = np.zeros(len(mine.weights), np.int32)
+        features, leaves = np.zeros((FEATURES, 0), np.uint64), np.zeros(0, np.int64)
         for batch in pieces(batches):
             t = Tokens(batch.column(0))
-            pick = np.flatnonzero(t.place % stride == turn)
-            features, target = t.features(mine.classes, mine.bits, pick), mine.classes[t.ending[pick]]
-            for a in range(0, len(pick), BATCH):
-                _step(mine, seen, used, features[a : a + BATCH], target[a : a + BATCH], rate)
-        change = (mine.weights - start.weights) * used[:, None]
-        chunks = [c for c in range(0, len(used), chunk) if used[c : c + chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([c // chunk for c in chunks], pa.int32()), pa.array([used[c : c + chunk].tobytes() for c in chunks], pa.binary()), pa.array([change[c : c + chunk].astype(np.float32).tobytes() for c in chunks], pa.binary())], ["c", "used", "change"])
+            # what is left of one batch begins the next step, so steps don't depend on how rows come in batches
+            features, leaves = np.concatenate([features, t.features(mine.classes)], 1), np.concatenate([leaves, mine.leaves(t)])
+            whole = len(leaves) // BATCH * BATCH
+            for a in range(0, whole, BATCH):
+                mine.step(features[:, a : a + BATCH], leaves[a : a + BATCH], used, rate)
+            features, leaves = features[:, whole:], leaves[whole:]
+        if len(leaves):
+            mine.step(features, leaves, used, rate)
+        for c in range(0, len(used), chunk):
+            own = slice(c, c + chunk)
+            if used[own].any():
+                change = np.concatenate([mine.weights[own] - start.weights[own], (mine.seen[own] - start.seen[own])[:, None]], 1) * used[own, None]
+                yield pa.RecordBatch.from_arrays([pa.array([c // chunk], pa.int32()), pa.array([used[own].tobytes()], pa.binary()), pa.array([change.astype(np.float32).tobytes()], pa.binary())], ["c", "used", "change"])
 
     def add(batches):
         """One sum per chunk within a task, so that what leaves a task is bounded by the table's size."""
         sums: dict[int, list] = {}
         for batch in batches:
-            for c, u, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                u, x = np.frombuffer(u, np.int64), np.frombuffer(x, np.float32)
-                if c in sums:
-                    sums[c][0] += u
-                    sums[c][1] += x
+            for c, u, x in zip(*(batch.column(i) for i in range(3)), strict=True):
+                u, x = np.frombuffer(u.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)
+                if (k := c.as_py()) in sums:
+                    sums[k][0] += u
+                    sums[k][1] += x
                 else:
-                    sums[c] = [u.copy(), x.copy()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0].tobytes() for s in sums.values()], pa.binary()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["c", "used", "change"])
-
-    schema = "c int, used binary, change binary"
-    found = arrow_map(arrow_map(docs.select("text"), learn, schema).repartition("c"), add, schema)
-    out = model.weights.copy()
-    for r in found.collect():  # one row per chunk of the table
-        used = np.frombuffer(r.used, np.int64)
-        rows = slice(r.c * chunk, r.c * chunk + len(used))
-        out[rows] += np.frombuffer(r.change, np.float32).reshape(-1, wide) / np.maximum(used, 1)[:, None].astype(np.float32)
+                    sums[k] = [u.astype(np.int64), x.copy()]
+        for k, (u, x) in sums.items():
+            x = x.reshape(-1, wide) / np.maximum(u, 1)[:, None].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["c", "change"])
+
+    found = arrow_map(docs.select("text"), learn, "c int, used binary, change binary").repartition("c")
+    got = arrow_map(found, add, "c int, change binary").toArrow()  # one row per chunk of the table
+    for c, x in zip(got.column("c").to_pylist(), got.column("change"), strict=True):
+        x = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, wide)
+        own = slice(c * chunk, c * chunk + len(x))
+        model.weights[own] += x[:, :DIGIT]
+        model.seen[own] += x[:, DIGIT]
     shared.destroy()
-    return out
 
 
-def fit(docs: DataFrame, levels: int = 6, bits: int = 15, stride: int = 6, rate: float = 0.2, top: int = 1 << 18) -> tuple[MaxEnt, DataFrame]:
+def fit(docs: DataFrame, bits: int = 18, rounds: int = 3, rate: float = 0.1, top: int = 1 << 18) -> tuple[MaxEnt, DataFrame]:
     """The model, and the table of all types (h, n), which grows with the corpus and stays distributed.
 
-    docs: text of the training documents. Counts, classes and their sizes cover all tokens. Gradients come from every
-    token once: a round takes one of stride positions of each document, and there are stride rounds. The model's
-    size is bounded by its parameters: 2**bits rows of 2**levels weights, and the top commonest types.
+    docs: text of the training documents. Counts, classes and their sizes cover all tokens, and every token gives one
+    gradient: a round takes whole documents, one of rounds parts of them by a hash of their text. The model depends on how
+    rows lie in partitions, but not on how they come in batches. Its size is bounded by its parameters: 2**bits rows of
+    DIGIT weights, and the top commonest types.
     """
-    types, cells = _counted(docs)
-    types = cut(types)
+    counted = cut(_counted(docs))
+    types = counted.where("kind = 0")
     near = np.zeros(ENDINGS * NEIGHBOURS, np.int64)
-    got = cells.toArrow()  # at most ENDINGS * NEIGHBOURS rows
-    near[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    classes = _classes(near.reshape(ENDINGS, NEIGHBOURS), levels)
-    wide = 1 << levels
-    size, kinds = np.zeros(wide, np.int64), np.zeros(wide, np.int64)
-    for r in types.groupBy("e").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():  # one row per ending
-        size[classes[r.e]] += r.n
-        kinds[classes[r.e]] += r.k
+    got = counted.where("kind = 1").select("h", "n").toArrow()  # at most ENDINGS * NEIGHBOURS rows
+    near[got.column("h").to_numpy()] = got.column("n").to_numpy()
+    classes = _classes(near.reshape(ENDINGS, NEIGHBOURS), CLASS_DIGITS * (DIGIT.bit_length() - 1))
+    got = types.groupBy("e").agg(F.sum("n").alias("n"), F.count("*").alias("k")).toArrow()  # one row per ending and group
+    e = got.column("e").to_numpy()
+    leaves = classes[e // GROUPS] * GROUPS + e % GROUPS
+    size, kinds = (np.bincount(leaves, got.column(c).to_numpy(), LEAVES).astype(np.int64) for c in ("n", "k"))
+    # branches without a type get no probability
+    below = [size.reshape(DIGIT ** (k + 1), -1).sum(1).reshape(-1, DIGIT) for k in range(LEVELS)]
+    n = np.concatenate(below)
+    bias = np.where(n > 0, np.log(np.maximum(n, 1) / np.maximum(n.sum(1, keepdims=True), 1)), -1e4).astype(np.float32)
     common = types.orderBy(F.desc("n"), "h").limit(top).select("h", "n").toArrow()
     h, n = common.column("h").to_numpy().view(np.uint64), common.column("n").to_numpy()
     order = np.argsort(h)
-    bias = np.log((size + 0.5) / (size + 0.5).sum()).astype(np.float32)
-    model = MaxEnt(classes, bits, bias, np.zeros((1 << bits, wide), np.float32), size, kinds, h[order], n[order])
-    for turn in range(stride):
-        model.weights = _round(docs, model, stride, turn, rate / (turn + 1))
+    model = MaxEnt(classes, bits, bias, np.zeros((1 << bits, DIGIT), np.float32), np.zeros(1 << bits, np.float32), size, kinds, h[order], n[order])
+    for turn in range(rounds):
+        _round(docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn), model, rate)
         gc.collect()
         docs.sparkSession.sparkContext._jvm.System.gc()  # else each round's shuffle files stay until the driver happens to collect its garbage
     return model, types.select("h", "n")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import chat, maxent, queries, vafile, warc, weighted
 from sparkloom.llm.common import held_out, table
 
-from .test_text_operators import ODD, docs_of, words_of
+from .test_text_operators import ODD, docs_of, thue_morse, words_of
 
 
 def test_maxent_probabilities_sum_to_one_and_beat_the_base(spark, sf):
@@ -35,15 +35,79 @@ def test_maxent_probabilities_sum_to_one_and_beat_the_base(spark, sf):
         assert abs(base - r.base_score) < 1e-6 * abs(base)
     held = out[out.held_out]
     assert held.score.sum() > held.base_score.sum() + 0.1 * held.n_tokens.sum() and (held.score < 0).all()
-    # one text, token by token, against a plain softmax; all types' probabilities sum to 1
-    t = maxent.Tokens(pa.array(["the cat the"]))
-    f = t.features(model.classes, model.bits)
-    logits = model.bias + sum(model.weights[f[:, k]] for k in range(maxent.FEATURES))
-    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
-    mine = model.classes[t.ending]
-    want = np.log10((1 - model.unknown) * p[np.arange(4), mine] / (model.size + 0.5 * model.kinds)[mine])
-    assert np.allclose(model.terms(t), want, atol=1e-4)
-    assert abs((1 - model.unknown) * p[0].sum() + model.unknown - 1) < 1e-5
+    # whole scores of some held-out texts, token by token, against a plain walk down the tree
+    for r in held.head(5).itertuples():
+        text = by[r.doc_id].text
+        t = maxent.Tokens(pa.array([text]))
+        total = 0.0
+        for at, token in enumerate(words_of(text) + [None]):
+            if token not in counts:
+                total += math.log10(model.unknown)
+                continue
+            p = leaf_probabilities(model, t, at)
+            leaf = int(model.leaves(t)[at])
+            total += math.log10((1 - model.unknown) * p[leaf] * (counts[token] + 0.5) / (model.size[leaf] + 0.5 * model.kinds[leaf]))
+        assert abs(total - r.score) < 1e-4 * abs(total)
+    # all types' probabilities sum to 1: a leaf's types share all of its probability
+    p = leaf_probabilities(model, t, 0)
+    assert abs(p.sum() - 1) < 1e-5 and p[model.kinds == 0].sum() < 1e-12
+    assert math.isclose((model.size + 0.5 * model.kinds).sum(), sum(c + 0.5 for c in counts.values()))
+
+
+def leaf_probabilities(model, t, at):
+    """Of all leaves for the token at a place, by one softmax at every node."""
+    features = [int(x) for x in t.features(model.classes)[:, at]]
+    out = np.ones(1)
+    for level in range(maxent.LEVELS):
+        parts = []
+        for k in range(maxent.DIGIT**level):
+            node = int(maxent._FIRST[level]) + k
+            rows = [((f ^ int(maxent._NODE[node])) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - model.bits) for f in features]
+            x = model.bias[node].astype(float) + sum(model.weights[r].astype(float) for r in rows)
+            e = np.exp(x - x.max())
+            parts.append(out[k] * e / e.sum())
+        out = np.concatenate(parts)
+    return out
+
+
+def test_maxent_steps_follow_numeric_gradients():
+    t = maxent.Tokens(pa.array(["a b c a b", "", "c c a"]))
+    classes = np.arange(maxent.ENDINGS) % maxent.CLASSES
+    sizes = np.ones(maxent.LEAVES, np.int64)
+    new = lambda: maxent.MaxEnt(classes, 14, np.full((int(maxent._FIRST[-1]), maxent.DIGIT), -2.0, np.float32), np.zeros((1 << 14, maxent.DIGIT), np.float32), np.zeros(1 << 14, np.float32), sizes, sizes, t.h[:0], t.place[:0])
+    model = new()
+    features, leaves = t.features(classes), model.leaves(t)
+    model.step(features, leaves, np.zeros(1 << 14, np.int32), 0.1)
+    before = new().terms(t).sum()
+    moved = np.argwhere(np.abs(model.weights) > 1e-3)
+    assert len(moved) > 50
+    for row, digit in moved[:: len(moved) // 25]:
+        probe = new()
+        probe.weights[row, digit] += 1e-2
+        assert np.sign(probe.terms(t).sum() - before) == np.sign(model.weights[row, digit])
+    assert model.terms(t).sum() > before
+
+
+def test_maxent_tells_words_of_one_pattern_apart(spark):
+    a, b = thue_morse(10)
+    docs = spark.createDataFrame([(1, False, f"{a} {a} x"), (2, False, b)], "doc_id long, held_out boolean, text string")
+    model, types = maxent.fit(docs)
+    assert types.count() == 4 and model.tokens == 6
+    got = {r.doc_id: r.base_score for r in maxent.score(docs, model, types).collect()}
+    assert math.isclose(got[2], math.log10(1.5 / 8.5) + math.log10(2.5 / 8.5), rel_tol=1e-9)
+
+
+def test_maxent_does_not_depend_on_batches(spark, sf):
+    docs = table(spark, sf, "documents").select("text").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, got = spark.conf.get(key), []
+    try:
+        for rows in ("500", "17"):
+            spark.conf.set(key, rows)
+            got.append(maxent.fit(docs)[0].weights)
+    finally:
+        spark.conf.set(key, old)
+    assert np.abs(got[0]).max() > 0.1 and np.array_equal(*got)
 
 
 def test_maxent_on_odd_rows_and_nothing(spark):
@@ -60,7 +124,7 @@ def test_maxent_learns_from_every_position(spark):
     texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((40, 1, 2, 3, 4, 5, 6, 0))]
     model, _ = maxent.fit(spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1))
     t = maxent.Tokens(pa.array(texts))
-    words = t.features(model.classes, model.bits)[:, 0]
+    words = maxent.rows_of(t.features(model.classes)[:1], np.zeros(len(t.h), np.int64), model.bits)[0]
     assert len(set(words[t.place > 0])) == (t.place > 0).sum()  # each row of the table belongs to one position
     assert (np.abs(model.weights[words]).sum(1) > 0).all()
 
@@ -88,11 +152,25 @@ def test_cells_bound_scores_and_spare_reads():
     r = np.random.default_rng(4)
     block = vafile.Block(np.arange(3000), np.floor(64 * r.normal(size=(3000, 8))).astype(np.int64))
     q = np.floor(64 * r.normal(size=(5, 8))).astype(np.int64)
-    low, high = block.bounds(q)
+    about, error = block.approximate(q)
     exact = q @ block.vectors.T
-    assert (low <= exact).all() and (exact <= high).all()
-    list(block.search(np.full(5, -1), q, 10))
+    assert (np.abs(exact - about) <= error[:, None]).all()
+    found = list(block.search(np.full(5, -1), q, 10))
     assert block.read < 5 * 3000 / 3
+    read, block.read = block.read, 0
+    again = list(block.search(np.full(5, -1), q, 10, np.array([f[2][-1] for f in found], float)))
+    assert [f[1].tolist() for f in again] == [f[1].tolist() for f in found] and block.read <= read
+
+
+def test_top_k_of_repeated_queries(spark):
+    rows = [(20, [1, 2]), (20, [3, -1]), (20, [3, -1])] + [(i, [i, 1]) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in vafile.top_k(df, df.where("vec_id = 20"), 3).collect())
+    want = Counter()
+    for _, q in rows[:3]:
+        best = sorted((-(q[0] * v[0] + q[1] * v[1]), i) for i, v in rows if i != 20)[:3]
+        want.update((20, k + 1, i, -x) for k, (x, i) in enumerate(best))
+    assert got == want
 
 
 def test_archives_round_trip(spark):
@@ -173,6 +251,74 @@ def test_fingerprints_of_odd_tables(spark):
     assert len(got) == 5 and sorted(x.near_next for x in got)[-1] == 1
 
 
+def test_fingerprint_blocks_split_clumps_and_repeated_ids(spark):
+    rows = [(i, f"t{i} common words") for i in range(300)] + [(1 << 62, "far off")] + [(7, f"same id {i}") for i in range(200)] + [(None, f"no id {i}") for i in range(150)] + [(9, "again")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = weighted.numbered(df, width=20).toPandas()
+    assert len(dealt) == len(rows) and not dealt.duplicated(["block", "pos"]).any()
+    assert dealt.block.value_counts().max() < 80
+    ids = dealt.sort_values(["block", "pos"], ascending=[False, True]).doc_id
+    known = ids.dropna().tolist()
+    assert known == sorted(known, reverse=True) and ids.isna().tolist() == sorted(ids.isna())
+    out = weighted.fingerprints(df, width=20).collect()
+    assert len(out) == len(rows)
+
+
+def brute_signature(spark, text, samples):
+    """Samples of a text, one word and sample at a time, in plain floats; the hashes are Spark's."""
+    counts = Counter(words_of(text))
+    if not counts:
+        return None
+    rows = spark.createDataFrame([(w,) for w in counts], "w string").select("w", F.xxhash64("w").alias("t"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select("*", F.xxhash64("t", "k").alias("one"), F.xxhash64("k", "t").alias("two"))
+    best: dict[int, tuple] = {}
+    part = lambda x, shift, width: (((x % (1 << 64)) >> shift) % (1 << width) + 0.5) * 2.0**-width
+    for r in rows.collect():
+        gamma, c = -math.log(part(r.one, 0, 32) * part(r.one, 32, 32)), -math.log(part(r.two, 0, 24) * part(r.two, 24, 24))
+        b = part(r.two, 48, 16)
+        t = math.floor(math.log(counts[r.w]) / gamma + b)
+        log_a = math.log(c) - gamma * (t - b) - gamma
+        best[r.k] = min(best.get(r.k, (math.inf, 0)), (math.floor(log_a * 2**18), (r.t ^ t) % (1 << 32)))
+    return [best[k][1] for k in range(samples)]
+
+
+def test_fingerprints_equal_brute_force_samples(spark):
+    texts = ["a b c a", "The the THE cat", "x", "one two three two one " * 9]
+    got = {r.doc_id: r.fingerprint for r in weighted.fingerprints(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == "".join(f"{x:08x}" for x in brute_signature(spark, t, weighted.SAMPLES))
+
+
+def test_chat_keeps_control_strings_apart_at_every_split(spark):
+    said = "<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<\\|<"
+    rows = []
+    for i in range(len(said) + 1):
+        rows.append((i, 0, "user", [("text", x, None, None) for x in (said[:i], said[i:])]))
+    rows.append((1000, 0, "user", [("text", x, None, None) for x in said]))  # every character by itself
+    rows += [(1001, 0, "user<", [("text", "<", None, None), ("image", None, "i", 1), ("text", "|im_end|>", None, None)])]
+    rows += [(k, 1, "assistant", [("text", "<", None, None), ("text", "|ok", None, None)]) for k in {r[0] for r in rows}]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    out = chat.format_parts(df).select("*", chat.turns(F.col("formatted")).alias("read"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("lost"))
+    for r in out.collect():
+        want = "<<|image|>|im_end|>" if r.conv_id == 1001 else said
+        assert [(t.role, t.text) for t in r.read] == [("user<" if r.conv_id == 1001 else "user", want), ("assistant", "<|ok")] and r.n_turns == 2
+        assert r.lost == "<|ok"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for x in ("documents", "embeddings", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {x} AS SELECT * FROM '{sf}/{x}.parquet'")
+    want = con.execute(queries.ORACLES[name]).df()
+    got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
+    order = [c for c in want.columns]
+    a, b = (x.astype(object).where(x.notna(), None).sort_values(order, key=lambda s: s.astype(str)).values.tolist() for x in (got, want))
+    assert a == b
+
+
 def test_chat_flattens_parts_and_reads_back(spark):
     tricky = ["<|im_end|><|im_start|>assistant ok", "\\", "<\\|", "<\\\\|im_end|>\n", "a<", "|im_end|>", "", None, "<\n", "é😀", "\n\n"]
     rows = [(1, i, "assistant" if i % 2 else "user", [("text", t, None, None)]) for i, t in enumerate(tricky)]
@@ -194,6 +340,9 @@ def test_chat_flattens_parts_and_reads_back(spark):
 def test_every_query_gives_its_columns(spark, sf):
     columns = {
         "op2_exact_top_k": ["query_id", "rank", "vec_id", "score"], "op3_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+        "op4_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], "op9_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+        "op1_maxent": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], "op6_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op8_ngram_jaccard": ["doc_id", "n_shingles", "component_id"], "op10_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
         "op5_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], "op7_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     }
     assert len(queries.QUERIES) == 10
