@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoint import cut
+from .checkpoint import cut, cut_and_sum, forget
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Rows (node, component): the smallest node that is reachable over the edges, in either direction.
 
     Nodes without an edge (self loops and nulls are dropped first) get no row. Each round links every node to the
-    smallest of its neighbours, so the table shrinks to stars in few rounds. Every step is a grouped minimum (combined
+    smallest of its neighbours, so the table shrinks to stars in few rounds; whether a round changed anything is told by
+    sums gathered as its table is written, and the table before is deleted. Every step is a grouped minimum (combined
     map-side) and an equi-join on a node, which adaptive execution splits where a node has many edges; no list of a
     node's neighbours is ever gathered. Rounds are cut by tables in the shared checkpoint folder.
     """
@@ -26,8 +27,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        old = e
+        e, now = cut_and_sum(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), n=F.count(F.lit(1)), hash=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        forget(old)
         if now == last:
             break
         last = now
