@@ -161,7 +161,10 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], ["doc_id", "set"])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(marks.value)))
-    return arrow_map(docs.select("doc_id", "text", slot.alias("slot")), run, "doc_id long, set array<long>").join(ids, "doc_id", "left_semi")
+    out = cut(arrow_map(docs.select("doc_id", "text", slot.alias("slot")), run, "doc_id long, set array<long>").join(ids, "doc_id", "left_semi"))
+    marks.destroy()
+    forget(ids)
+    return out
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -201,24 +204,24 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, share: int = 160
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     hot = spark.sparkContext.broadcast(frequent(docs, words, share))
     sig = cut(arrow_map(docs, _signatures(hot, words, percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>"))
+    hot.destroy()
     reps = sig.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     one_each = sig.where("n > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     posts = one_each.select("doc_id", "n", F.explode("prefix").alias("s"))
     shared = posts.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s")
     posts = cut(posts.join(shared, "s"))
 
-    links, groups = None, None
+    groups = None
     for k in range(rounds):
         now = posts.withColumn("g", F.col("doc_id")) if groups is None else _labelled(posts, groups)
         pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "n", "g")) if k else F.min(F.struct("doc_id", "n", "g"))
         leaders = now.groupBy("s").agg(pick.alias("p")).select("s", F.col("p.doc_id").alias("b"), F.col("p.n").alias("m"), F.col("p.g").alias("h"))
         pairs = now.join(leaders, "s").where("g <> h").where(_sizes_fit("n", "m", percent)).groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
         pairs = cut(pairs.where(_bound(F.col("c"), F.col("n"), F.col("m"), percent)).select("a", "b"))
-        sets = cut(_sets(docs, _ends(pairs), words))
+        sets = _sets(docs, _ends(pairs), words)
         found = cut(_verified(pairs, sets, percent))
-        forget(sets)
-        links = found if links is None else links.unionByName(found)
-        groups = cut(components(links, "a", "b"))
+        forget(sets, pairs)
+        groups = _joined(groups, found)
 
     reach = math.ceil(math.log(100 / percent) / math.log(1.1)) + 1  # bands that sets which may link lie apart at most
     # the rest, exactly: a document against each other group of like size that shares an indexed shingle with it
@@ -240,7 +243,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, share: int = 160
     # a group of several opens only if the union of its members' whole sets has enough of the document
     many = met.where("whole > 1")
     inside = members.join(met.select("g", "band").distinct(), ["g", "band"], "left_semi")
-    sets = cut(_sets(docs, met.select("doc_id").unionByName(inside.select("doc_id")), words))
+    sets = _sets(docs, met.select("doc_id").unionByName(inside.select("doc_id")), words)
     union = inside.where("whole > 1").join(sets, "doc_id").select("g", "band", F.explode("set").alias("s")).distinct()
     asked = many.join(sets, "doc_id").select("doc_id", "n", "g", "band", "lo", F.explode("set").alias("s"))
     open_ = asked.join(union, ["g", "band", "s"]).groupBy("doc_id", "n", "g", "band", "lo").agg(F.count("*").alias("c")).where(enough(F.col("c"))).select("doc_id", "n", "g", "band")
@@ -248,15 +251,34 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80, share: int = 160
     pairs = open_.join(members.select("g", "band", F.col("doc_id").alias("b"), F.col("n").alias("m")), ["g", "band"])
     pairs = cut(pairs.where(_sizes_fit("n", "m", percent)).select(F.col("doc_id").alias("a"), "b").distinct())
     found = cut(_verified(pairs, sets, percent))
-    forget(sets)
-    links = links.unionByName(found)
-    groups = cut(components(links, "a", "b"))
+    forget(sets, pairs, met, now, posts)
+    groups = _joined(groups, found)
 
     classes = reps.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     some = sig.where("n > 0").drop("prefix").join(classes, ["d1", "d2"]).select("doc_id", "n", "component_id")
     return some.unionByName(sig.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def _joined(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """groups (node, component) after further links (a, b), whose table goes: only groups that a link joins are looked at anew."""
+    if groups is None:
+        out = cut(components(links, "a", "b"))
+        forget(links)
+        return out
+    ends = links
+    for end in ("a", "b"):
+        named = groups.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        ends = ends.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    ends = cut(ends.select("ca", "cb").distinct())
+    joined = cut(components(ends, "ca", "cb").select(F.col("node").alias("old"), F.col("component").alias("new")))
+    moved = groups.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    # documents that had no group before are their own
+    alone = joined.join(groups, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    out = cut(moved.unionByName(alone))
+    forget(links, groups, ends, joined)
+    return out
+
+
 def _labelled(posts: DataFrame, groups: DataFrame) -> DataFrame:
     """posts of shingles that more than one group has, with g, the document's group."""
     g = posts.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("s", "doc_id", "n", F.coalesce("component", "doc_id").alias("g"))

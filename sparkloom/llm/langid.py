@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, arrow_map, fresh, held_out, pieces, utf8
+from .common import _LOWER, arrow_map, fresh, held_out, pieces, release, utf8
 
 SIZE = 4  # bytes of an n-gram
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
@@ -131,7 +131,10 @@ def fit(docs: DataFrame, sample: int = 12_000, least: int = 3, relative: float =
     rows = found.toArrow().to_pandas()  # bounded by the sample
     rows["rate"] = rows["n"] / rows.groupby("lang")["n"].transform("sum")
     rows = rows[(rows["n"] >= least) & (rows["rate"] >= relative * rows.groupby("code")["rate"].transform("max"))]
-    return LanguageFilters.build({str(k): g["code"].to_numpy() for k, g in rows.groupby("lang")}, bits, hashes)
+    out = LanguageFilters.build({str(k): g["code"].to_numpy() for k, g in rows.groupby("lang")}, bits, hashes)
+    del rows
+    release()
+    return out
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:

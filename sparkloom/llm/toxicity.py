@@ -188,8 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most_bytes: in
     def read(batches):
         for batch in pieces(batches):
             buckets, first = features(batch.column(2), bits)
-            buckets = buckets.astype("<u4").tobytes()
-            out = [buckets[4 * FEATURES * a : 4 * FEATURES * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            wide = FEATURES * buckets.itemsize
+            buckets = buckets.tobytes()
+            out = [buckets[wide * a : wide * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "toxic", "words"])
 
     model = ToxicityModel(bits=bits)
@@ -197,14 +198,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most_bytes: in
     ids = got.column("doc_id").to_numpy()
     y = got.column("toxic").to_numpy().astype(np.int64)
     narrow = np.uint16 if bits <= 16 else np.uint32
-    words = [np.frombuffer(x.as_buffer() or b"", "<u4").astype(narrow).reshape(-1, FEATURES) for x in got.column("words")]
-    del got
+    words = [np.frombuffer(x.as_buffer(), narrow).reshape(-1, FEATURES) for x in got.column("words")]
     aside = ids % 5 == 2 if len(ids) >= 200 else np.zeros(len(ids), bool)
     model.train([w for w, a in zip(words, aside, strict=True) if not a], y[~aside])
     if len(ids):
         check = aside if aside.any() else ~aside
         logits = np.array([model._logits(w, np.array([0, len(w)]))[0] for w, a in zip(words, check, strict=True) if a])
-        del words
+        del words, got
+        release()
         model.languages = langid.fit(docs)
         tried = docs.sparkSession.createDataFrame([(int(i),) for i in ids[check]], "doc_id long").distinct()
         asked = docs.select("doc_id", "text").join(F.broadcast(tried), "doc_id")
