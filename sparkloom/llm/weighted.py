@@ -70,24 +70,28 @@ def numbered(docs: DataFrame, width: int = 512, most: int = 1 << 14) -> DataFram
     """docs (doc_id, text) dealt by block, with block and pos, which tell all rows apart.
 
     Blocks rise with doc_id; pos counts a block's rows by descending doc_id, then text, so rows by descending block, then
-    pos, descend by doc_id. Blocks end at quantiles of doc_id, one for about width rows, and most at the utmost: then blocks
-    grow. Rows of an id that spans several blocks are spread over them, and rows without an id, which come last, over as
-    many as their number asks for. A partition gets about four blocks.
+    pos, descend by doc_id. Where equal ranges of doc_id hold about width rows each, they are the blocks. Else blocks end
+    at quantiles of doc_id, one for about width rows, and most at the utmost: then blocks grow. Rows of an id that spans
+    several blocks are spread over them, and rows without an id, which come last, over as many as their number asks for. A
+    partition gets about four blocks.
     """
-    n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    n, known, low, high = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
+    dealt = lambda block: docs.withColumn("block", block).repartition(max(4, math.ceil(n / (4 * width))), "block").withColumn("pos", F.row_number().over(order))
+    step = max(1, math.ceil((high - low + 1) / max(1, math.ceil(n / width)))) if known else 1
+    even = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(step)), F.lit(0)).cast("long")
+    largest = 0 if known and high - low >= 1 << 62 else docs.groupBy(even.alias("k")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if 0 < largest <= 4 * width or not n:
+        return dealt(even)
     count = min(most, math.ceil(known / width))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 8 * count)).first()[0] if count > 1 else []
     none = max(1, min(most, math.ceil((n - known) / width)))
-    steps = F.array(*[F.lit(1 << k) for k in range(max(1, len(cuts)).bit_length() - 1, -1, -1)])
-    limits = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-    # of the sorted limits, how many are below doc_id, or below or equal, by bisection
-    bisect = lambda fits: F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(fits(F.get(limits, at + step - 1), F.col("doc_id")), step).otherwise(0))
-    low, high = (bisect(lambda x, y: x < y), bisect(lambda x, y: x <= y)) if cuts else (F.lit(0), F.lit(0))
-    some = F.xxhash64("text", F.monotonically_increasing_id())
-    block = F.when(F.col("doc_id").isNull(), -1 - F.pmod(some, F.lit(none))).otherwise(F.col("low") + F.pmod(some, F.col("high") - F.col("low") + 1)).cast("long")
-    order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
-    dealt = docs.withColumns({"low": low, "high": high}).withColumn("block", block).drop("low", "high")
-    return dealt.repartition(max(4, min(most, math.ceil(n / (4 * width)))), "block").withColumn("pos", F.row_number().over(order))
+    # of the sorted limits, how many are below doc_id and how many above
+    limits = F.concat(F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else F.array().cast("array<bigint>"), F.array("doc_id"))
+    some = F.xxhash64("text", F.monotonically_increasing_id())  # equal rows are spread as well
+    below, above = (F.array_position(F.sort_array(limits, up), F.col("doc_id")) - 1 for up in (True, False))
+    own = below + F.pmod(some, len(cuts) + 1 - below - above)
+    return dealt(F.when(F.col("doc_id").isNull(), -1 - F.pmod(some, F.lit(none))).otherwise(own).cast("long"))
 
 
 def with_next(rows: DataFrame, column: str) -> DataFrame:
