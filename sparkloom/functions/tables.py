@@ -41,3 +41,20 @@ ROAD_PRIORITY = list(ROAD_SPEED)
 BANDS = ["Watch", "Moderate", "High", "Critical"]
 EPS = 1e-9
 EARTH_M = 6371000.0
+
+# The weights of the composite scores, by component.
+EMERGING_WEIGHTS = {"anomaly": 0.32, "growth_norm": 0.26, "resurgence_norm": 0.18, "slope_norm": 0.12, "recent_norm": 0.12}
+NOVELTY_WEIGHTS = {"rop": 0.25, "tvs": 0.20, "vdi": 0.20, "validation_uncertainty": 0.20, "resurgence_score": 0.15}
+PRESSURE_WEIGHTS = {
+    "ccs_score": 0.25, "delay": 0.15, "growth_surge": 0.10, "layer_b_priority_boost": 0.10, "context_boost": 0.08, "persistence_score": 0.10, "resurgence_score": 0.10,
+    "validation_uncertainty": 0.05, "anomaly_score": 0.04, "rop": 0.06, "tvs": 0.04, "vdi": 0.03,
+}
+VULNERABILITY_WEIGHTS = {"source_pressure_score": 0.35, "spillover_out_score": 0.20, "spillover_in_score": 0.15, "road_node_betweenness": 0.15, "network_pagerank": 0.10, "resurgence_score": 0.05, "validation_uncertainty": 0.05}
+PRIORITY_WEIGHTS = {
+    "probability_of_escalation": 0.22, "predicted_next_week_ccs_score": 0.18, "current_week_ccs_proxy_score": 0.08, "criticality_factor": 0.08, "growth_multiplier": 0.07, "growth_pct_change": 0.05,
+    "layer_b_priority_boost": 0.05, "validation_uncertainty": 0.05, "rop": 0.08, "tvs": 0.06, "vdi": 0.05, "resurgence_score": 0.05, "anomaly_score": 0.04, "network_vulnerability_score": 0.04,
+    "spillover_total_score": 0.01, "nearby_sensitive_poi_count": 0.01,
+}
+DISPATCH_WEIGHTS = {"ccs_score": 0.38, "predicted_next_week_ccs_score": 0.18, "probability_of_escalation": 0.18, "growth_pct_change": 0.14, "criticality_factor": 0.12}
+PRESCRIPTIVE_WEIGHTS = {"dispatch_priority_score": 0.24, "predicted_next_week_ccs_score": 0.22, "probability_of_escalation": 0.20, "ccs_score": 0.12, "growth_pct_change": 0.10, "criticality_factor": 0.08, "offender_pressure": 0.04}
+OFFENDER_WEIGHTS = {"chronic_vehicles": 0.6, "repeat_vehicles": 0.4}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import band, finite
+from ..functions import tables as t
+from ..functions.columns import worse_band
 from ..functions.tables import EPS
 
 
@@ -91,3 +93,64 @@ def proxy_when_flat(df: DataFrame, column: str, proxy: Column, least_median: flo
     if least_median is not None:
         flat = flat | (F.coalesce(F.col("__m"), F.lit(0.0)) < least_median)
     return wide.withColumns({f"{column}_source": F.when(flat, "proxy").otherwise("computed"), column: F.when(flat, proxy).otherwise(F.col(column))}).drop("__k", "__m")
+
+
+def source_pressure(df: DataFrame) -> DataFrame:
+    """source_pressure_score from 12 components; if all of them are flat, the scaled ccs_score, and if that is flat too, 50."""
+    surge = F.greatest(F.coalesce(F.col("growth_pct_change"), F.lit(0.0)), F.lit(0.0))
+    wide = df.withColumns({"growth_surge": surge, "context_boost": F.coalesce("context_multiplier", F.lit(1.0)) - 1})
+    wide = minmax(weighted(wide, t.PRESSURE_WEIGHTS, "__p"), ["ccs_score"], "__f")
+    wide = with_stats(wide, __top=F.max("__p"), __spread=F.max("ccs_score__f"))
+    score = F.when(F.col("__top") != 0, F.col("__p")).when(F.col("__spread") > 0, 100 * F.col("ccs_score__f")).otherwise(50.0)
+    return wide.withColumn("source_pressure_score", score).drop("__p", "__top", "__spread", "ccs_score__f")
+
+
+def vulnerability(df: DataFrame) -> DataFrame:
+    """network_vulnerability_score from 7 components."""
+    return weighted(df, t.VULNERABILITY_WEIGHTS, "network_vulnerability_score")
+
+
+def priority(df: DataFrame) -> DataFrame:
+    """priority_score from 16 components over the sum of their weights, its band, and the worse of that and the forecast's band."""
+    out = linear(df, t.PRIORITY_WEIGHTS, "__s", 1.0, True)
+    out = out.withColumn("priority_score", 100 * F.least(F.greatest(F.col("__s"), F.lit(0.0)), F.lit(1.0))).drop("__s")
+    own = band(F.round("priority_score", 6), (80.0, 60.0, 40.0), ("Critical", "High", "Moderate", "Watch"))
+    return out.withColumn("priority_band", own).withColumn("final_risk_band", worse_band(F.col("priority_band"), F.coalesce("future_risk_band", F.lit("Watch"))))
+
+
+def prescriptive(df: DataFrame) -> DataFrame:
+    """dispatch_priority_score from 5 components; phase8_priority_score from 7, its tiers by quantiles, patrols, tow readiness and the action."""
+    out = linear(linear(df, t.DISPATCH_WEIGHTS, "dispatch_priority_score"), t.OFFENDER_WEIGHTS, "offender_pressure", 1.0)
+    # the offenders' pressure is already a sum of norms
+    weights = {k: w for k, w in t.PRESCRIPTIVE_WEIGHTS.items() if k != "offender_pressure"}
+    out = linear(out, weights, "__s", 1.0)
+    out = out.withColumn("phase8_priority_score", F.round(100 * (F.col("__s") + t.PRESCRIPTIVE_WEIGHTS["offender_pressure"] * F.col("offender_pressure")), 6)).drop("__s")
+    out = quantile_bands(out, "phase8_priority_score", "tier", (0.85, 0.6, 0.35), ("Tier 1", "Tier 2", "Tier 3", "Tier 4"))
+    tow = F.col("risk_band").isin("Critical", "High") | F.col("future_risk_band").isin("Critical", "High") | (F.col("probability_of_escalation") >= 0.5) | (F.col("chronic_vehicles") >= 1)
+    action = F.when(tow, "Tow standby + patrol").when(F.col("risk_band") == "Critical", "Immediate patrol deployment").when(F.col("risk_band") == "High", "Targeted enforcement").otherwise("Routine monitoring")
+    return out.withColumns({"tow_readiness": tow, "prescriptive_action": action, "patrols": F.when(F.col("tier") == "Tier 1", 3).when(F.col("tier") == "Tier 2", 2).otherwise(1)})
+
+
+def novelty(df: DataFrame) -> DataFrame:
+    """layer_c_index from persistence, volatility, diversity, uncertainty (missing: the median, else 0.5; within 0 and 1) and resurgence."""
+    wide = with_stats(df, __m=F.median("validation_uncertainty"))
+    sure = F.least(F.greatest(F.coalesce("validation_uncertainty", "__m", F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+    return linear(wide.withColumn("validation_uncertainty", sure).drop("__m"), t.NOVELTY_WEIGHTS, "layer_c_index", 1.0)
+
+
+def emerging_norms(df: DataFrame) -> DataFrame:
+    """Seven robust norms; recent volume, resurgence and records by log1p first."""
+    zero = lambda k: F.coalesce(F.col(k).cast("double"), F.lit(0.0))
+    wide = df.withColumns({"recent": F.log1p(zero("recent")), "resurgence": F.log1p(zero("resurgence")), "records": F.log1p(zero("records"))})
+    wide = wide.withColumns({k: F.round(zero(k), 9) for k in EMERGING})
+    return robust(wide, EMERGING)
+
+
+EMERGING = ["recent", "growth", "slope", "resurgence", "peak_ratio", "severity_sum", "records"]
+
+
+def emerging(df: DataFrame, anomaly: str = "anomaly") -> DataFrame:
+    """emerging_hotspot_score, 0 to 100, from the scaled anomaly and four of the norms of emerging_norms."""
+    wide = minmax(df, [anomaly], "__n")
+    got = sum(w * F.col(f"{anomaly}__n" if k == "anomaly" else k) for k, w in t.EMERGING_WEIGHTS.items())
+    return wide.withColumn("emerging_hotspot_score", F.least(F.greatest(100 * got, F.lit(0.0)), F.lit(100.0))).drop(f"{anomaly}__n")

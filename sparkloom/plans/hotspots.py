@@ -9,6 +9,7 @@ from ..functions import columns as c
 from ..functions import tables as t
 from ..operators import aggs as a
 from ..operators import dispatch, joins, scoring, spatial
+from ..operators.checkpoint import cut
 from ..sources.adapter import approved_or_all
 from .registry import cluster_events, events, query, sql_mode
 
@@ -234,7 +235,8 @@ CCS_WEIGHTS = {"load": 0.25, "lam": 0.25, "severity_sum": 0.25, "multiplier": 0.
 
 def ccs(ev: DataFrame) -> DataFrame:
     """The criticality score and its bands."""
-    x = load_table(ev).join(a.half_growth(a.weekly(ev, "cluster_id"), "cluster_id"), "cluster_id")
+    # one row per cluster: cut, as every score adds statistics over all of it
+    x = cut(load_table(ev).join(a.half_growth(a.weekly(ev, "cluster_id"), "cluster_id"), "cluster_id"))
     return scoring.quantile_bands(scoring.geometric(x, CCS_WEIGHTS).withColumn("ccs_score", F.round("ccs_score", 9)), "ccs_score", "band", fixed=(80.0, 60.0, 40.0))
 
 
@@ -280,7 +282,7 @@ _ROBUST = lambda x: f"least(greatest(({x} - (SELECT quantile_cont({x}, 0.05) FRO
 _EMERGING = {"growth_": 0.26, "resurgence_": 0.18, "slope_": 0.12, "recent_": 0.12}
 
 
-@query("N05_N12_N25_emerging", f"""{_TREND}, rr AS (SELECT cluster_id, round(least(greatest(growth, -0.8), 3.0), 9) AS growth_, round(ln(1 + resurgence), 9) AS resurgence_, round(slope, 9) AS slope_, round(ln(1 + recent), 9) AS recent_ FROM tr),
+@query("N05_robust_trends", f"""{_TREND}, rr AS (SELECT cluster_id, round(least(greatest(growth, -0.8), 3.0), 9) AS growth_, round(ln(1 + resurgence), 9) AS resurgence_, round(slope, 9) AS slope_, round(ln(1 + recent), 9) AS recent_ FROM tr),
  sc AS (SELECT cluster_id, 100 * ({' + '.join(f'{w} * {_ROBUST(k)}' for k, w in _EMERGING.items())}) AS score FROM rr)
 SELECT cluster_id, round(score, 4) + 0.0 AS score FROM sc""", "w")
 def _(spark, d):
@@ -290,7 +292,7 @@ def _(spark, d):
     return x.select("cluster_id", r(100 * sum(w * F.col(f"{k}_norm") for k, w in _EMERGING.items()), 4).alias("score"))
 
 
-@query("N06_N17_N18_weighted", f"WITH {_LOAD}, n AS (SELECT cluster_id, {_sql_norm('load', 'l')} AS a, {_sql_norm('records', 'l')} AS b, {_sql_norm('severity_mean', 'l')} AS d FROM l) SELECT cluster_id, round(100 * (0.5 * coalesce(a, 0) + 0.3 * coalesce(b, 0) + 0.3 * coalesce(d, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE 0.5 END + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN d IS NULL THEN 0 ELSE 0.3 END), 5) + 0.0 AS pressure FROM n", "c")
+@query("N06_weighted", f"WITH {_LOAD}, n AS (SELECT cluster_id, {_sql_norm('load', 'l')} AS a, {_sql_norm('records', 'l')} AS b, {_sql_norm('severity_mean', 'l')} AS d FROM l) SELECT cluster_id, round(100 * (0.5 * coalesce(a, 0) + 0.3 * coalesce(b, 0) + 0.3 * coalesce(d, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE 0.5 END + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN d IS NULL THEN 0 ELSE 0.3 END), 5) + 0.0 AS pressure FROM n", "c")
 def _(spark, d):
     x = scoring.weighted(load_table(cluster_events(spark, d)).withColumn("flat", F.lit(1.0)), {"load": 0.5, "records": 0.3, "severity_mean": 0.3, "flat": 0.4}, "pressure")
     return x.select("cluster_id", r("pressure", 5).alias("pressure"))
@@ -304,7 +306,7 @@ def _(spark, d):
     return scoring.with_stats(g, top=F.percentile("n", 0.8)).select("cluster_id", "class", (F.col("n") >= F.col("top")).alias("alert"))
 
 
-@query("N13_N20_N22_linear", f"WITH {_LOAD} SELECT cluster_id, round(100 * (0.38 * coalesce({_sql_norm('load', 'l')}, 0) + 0.36 * coalesce({_sql_norm('records', 'l')}, 0) + 0.26 * coalesce({_sql_norm('vehicles', 'l')}, 0)), 5) + 0.0 AS score, round((0.38 * coalesce({_sql_norm('load', 'l')}, 0) + 0.36 * coalesce({_sql_norm('records', 'l')}, 0)) / 0.74, 5) + 0.0 AS mean FROM l", "c")
+@query("N01_linear", f"WITH {_LOAD} SELECT cluster_id, round(100 * (0.38 * coalesce({_sql_norm('load', 'l')}, 0) + 0.36 * coalesce({_sql_norm('records', 'l')}, 0) + 0.26 * coalesce({_sql_norm('vehicles', 'l')}, 0)), 5) + 0.0 AS score, round((0.38 * coalesce({_sql_norm('load', 'l')}, 0) + 0.36 * coalesce({_sql_norm('records', 'l')}, 0)) / 0.74, 5) + 0.0 AS mean FROM l", "c")
 def _(spark, d):
     x = scoring.linear(load_table(cluster_events(spark, d)), {"load": 0.38, "records": 0.36, "vehicles": 0.26}, "score")
     x = scoring.linear(x, {"load": 0.38, "records": 0.36}, "mean", 1.0, True)
@@ -569,7 +571,7 @@ def _(spark, d):
     return x.select("cluster_id", r(c.context_multiplier("poi", "tr")).alias("multiplier"), c.geofence_radius("poi").cast("long").alias("radius"), c.checks_status("poi").alias("status"), r(c.staffing("poi")[0]).alias("coverage"))
 
 
-@query("N23_prescriptive_tiers", f"WITH {_SCORED}, q AS (SELECT quantile_cont(score, 0.85) AS a, quantile_cont(score, 0.6) AS b, quantile_cont(score, 0.35) AS d FROM so) SELECT cluster_id, CASE WHEN score >= a THEN 'Tier 1' WHEN score >= b THEN 'Tier 2' WHEN score >= d THEN 'Tier 3' ELSE 'Tier 4' END AS tier, CASE WHEN score >= a THEN 3 WHEN score >= b THEN 2 ELSE 1 END AS patrols FROM so, q", "c")
+@query("N09_tiers", f"WITH {_SCORED}, q AS (SELECT quantile_cont(score, 0.85) AS a, quantile_cont(score, 0.6) AS b, quantile_cont(score, 0.35) AS d FROM so) SELECT cluster_id, CASE WHEN score >= a THEN 'Tier 1' WHEN score >= b THEN 'Tier 2' WHEN score >= d THEN 'Tier 3' ELSE 'Tier 4' END AS tier, CASE WHEN score >= a THEN 3 WHEN score >= b THEN 2 ELSE 1 END AS patrols FROM so, q", "c")
 def _(spark, d):
     x = scoring.quantile_bands(_scored(cluster_events(spark, d)), "score", "tier", (0.85, 0.6, 0.35), ("Tier 1", "Tier 2", "Tier 3", "Tier 4"))
     return x.select("cluster_id", "tier", F.when(F.col("tier") == "Tier 1", 3).when(F.col("tier") == "Tier 2", 2).otherwise(1).alias("patrols"))
@@ -594,7 +596,7 @@ def live(ev: DataFrame) -> DataFrame:
     e = approved_or_all(ev).where("local_ts IS NOT NULL")
     h = e.groupBy("hotspot_unit").agg(F.count("*").alias("records"), F.sum("severity").alias("severity_sum"), F.avg("severity").alias("severity_mean"), F.count_distinct("vehicle_number").alias("vehicles"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), a.mode("vehicle_type").alias("top_type"))
     g = a.half_growth(a.weekly(e, "hotspot_unit"), "hotspot_unit")
-    h = scoring.minmax(h.join(g, "hotspot_unit"), ["severity_sum", "records", "multiplier"])
+    h = scoring.minmax(cut(h.join(g, "hotspot_unit")), ["severity_sum", "records", "multiplier"])
     h = h.withColumn("delay", 10 * (2.5 * F.col("severity_sum_norm") + 3.0 * F.col("records_norm") + 2.0 * F.col("multiplier_norm")))
     h = scoring.minmax(h, ["delay"])
     s = lambda k: scoring.smooth(F.col(f"{k}_norm"), 0.15)
