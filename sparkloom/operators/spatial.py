@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_m, local_xy
+from .checkpoint import cut
 
 
 def cells(df: DataFrame, x: str, y: str, size: float, time: str | None = None, days: float = 1.0, around: bool = False) -> DataFrame:
@@ -57,29 +58,26 @@ def within(df: DataFrame, key: str, lat: str, lon: str, radius_m: float) -> Data
     return left.join(right, ["cell", "__b"]).where("a < b").select("a", "b", d.alias("distance_m")).where((F.col("distance_m") > 0) & (F.col("distance_m") <= radius_m)).distinct()
 
 
-def nearest(points: DataFrame, key: str, targets: DataFrame, target: str, lat: str = "lat", lon: str = "lon", start_m: float = 250.0, rounds: int = 12) -> DataFrame:
-    """Key, target and distance_m of the nearest target (ties: the smallest); the radius doubles until each point has one.
+def nearest(points: DataFrame, key: str, targets: DataFrame, target: str, lat: str = "lat", lon: str = "lon", start_m: float = 250.0) -> DataFrame:
+    """Key, target and distance_m of the nearest target (ties: the smallest); the radius grows until each point has one.
 
-    Each round is a cell join of the points still without a target; a target found within the radius is the nearest.
+    Each round is a cell join of the points still without a target; a target found within the radius is the nearest. Points
+    and targets without coordinates take no part. The rounds end at half the Earth's circumference, where every target is
+    within reach, so only points far from all targets meet many of them.
     """
-    left, out, radius = points.select(key, lat, lon), None, start_m
-    scale = 111194.93
-    for k in range(rounds):
-        size = radius / scale
-        last = k == rounds - 1
-        a = left.withColumns({"__y": F.col(lat), "__x": F.col(lon) * F.cos(F.radians(F.col(lat)))})
-        if last:
-            pairs = a.crossJoin(targets.select(target, F.col(lat).alias("tl"), F.col(lon).alias("to")))
-        else:
-            # longitudes differ by up to the radius over the cosine of the latitude; cells are cut in plain degrees, twice as wide
-            p = cells(a, lon, lat, 4 * size)
-            q = cells(targets.select(target, lat, lon), lon, lat, 4 * size, around=True).select("cell", target, F.col(lat).alias("tl"), F.col(lon).alias("to"))
-            pairs = p.join(q, "cell")
-        d = pairs.withColumn("distance_m", haversine_m(lat, lon, "tl", "to"))
-        found = (d if last else d.where(F.col("distance_m") <= radius)).withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy("distance_m", target))).where("__k = 1").select(key, target, "distance_m")
+    known = lambda df: df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(F.col(lat).cast("double")) & ~F.isnan(F.col(lon).cast("double")))
+    left, out, radius = known(points).select(key, lat, lon), None, start_m
+    # a target beyond the date line is entered on this side too
+    around = known(targets).select(target, F.col(lat), F.explode(F.array(lon, F.col(lon) + 360, F.col(lon) - 360)).alias(lon))
+    scale, half = 111194.93, 20_015_100.0
+    while True:
+        # longitudes differ by up to the radius over the cosine of the latitude; cells are cut in plain degrees, four times as wide
+        size = 4 * radius / scale
+        near = cells(around, lon, lat, size, around=True).select("cell", target, F.col(lat).alias("tl"), F.col(lon).alias("to"))
+        d = cells(left, lon, lat, size).join(near, "cell").withColumn("distance_m", haversine_m(lat, lon, "tl", "to")).where(F.col("distance_m") <= radius)
+        found = cut(d.groupBy(key).agg(F.min(F.struct("distance_m", target)).alias("__m")).select(key, f"__m.{target}", "__m.distance_m"))
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(key), key, "left_anti")
-        if left.isEmpty():
-            break
+        left = cut(left.join(found.select(key), key, "left_anti"))  # else each round would hold all before it twice
+        if radius > half or left.isEmpty():
+            return out
         radius *= 4
-    return out

@@ -45,12 +45,7 @@ def _(spark, d):
     return nodes.join(degree, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
 
-@query("F31_F52_display", f"SELECT cluster_id, printf('%.2f', CAST(records AS DOUBLE)) AS shown, 'score=' || printf('%.1f', CAST(records AS DOUBLE)) || ' | window=07:00-10:00' AS notes FROM ({_SUMMARY}) WHERE records < 1000", "c")
-def _(spark, d):
-    return _display(cluster_summary(cluster_events(spark, d)).where("records < 1000"))
-
-
-@query("F31_F52_display_whole", f"SELECT cluster_id, printf('%,.2f', CAST(records AS DOUBLE)) AS shown, 'score=' || printf('%.1f', CAST(records AS DOUBLE)) || ' | window=07:00-10:00' AS notes FROM ({_SUMMARY})", "c")
+@query("F31_F52_display", f"SELECT cluster_id, printf('%,.2f', CAST(records AS DOUBLE)) AS shown, 'score=' || printf('%.1f', CAST(records AS DOUBLE)) || ' | window=07:00-10:00' AS notes FROM ({_SUMMARY})", "c")
 def _(spark, d):
     return _display(cluster_summary(cluster_events(spark, d)))
 

@@ -407,12 +407,7 @@ def _(spark, d):
     return spatial.within(centres(cluster_events(spark, d)), "cluster_id", "lat", "lon", 1200.0).select("a", "b", r("distance_m", 3).alias("distance_m"))
 
 
-@query("J15_J16_nearest", f"WITH {_CENTRES}, s AS (SELECT id, latitude AS lat, longitude AS lon FROM e WHERE id % 7 = 0), p AS (SELECT s.id, ctr.cluster_id, {_DIST.format(a='s', b='ctr')} AS m FROM s, ctr), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, cluster_id) AS k FROM p) SELECT id, cluster_id, round(m, 3) + 0.0 AS distance_m FROM k WHERE k = 1", "c")
-def _(spark, d):
-    return _nearest(spark, d, events(spark, d).where("id % 7 = 0"))
-
-
-@query("J15_J16_nearest_whole", f"WITH {_CENTRES}, s AS (SELECT id, latitude AS lat, longitude AS lon FROM e), p AS (SELECT s.id, ctr.cluster_id, {_DIST.format(a='s', b='ctr')} AS m FROM s, ctr), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, cluster_id) AS k FROM p) SELECT id, cluster_id, round(m, 3) + 0.0 AS distance_m FROM k WHERE k = 1", "c")
+@query("J15_J16_nearest", f"WITH {_CENTRES}, s AS (SELECT id, latitude AS lat, longitude AS lon FROM e), p AS (SELECT s.id, ctr.cluster_id, {_DIST.format(a='s', b='ctr')} AS m FROM s, ctr), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, cluster_id) AS k FROM p) SELECT id, cluster_id, round(m, 3) + 0.0 AS distance_m FROM k WHERE k = 1", "c")
 def _(spark, d):
     return _nearest(spark, d, events(spark, d))
 

@@ -43,13 +43,7 @@ def _(spark, d):
 
 
 @query("F16_F19_F55_fallbacks_and_numbers", """SELECT id, CASE WHEN id % 3 = 0 THEN 'U' || vehicle_number ELSE vehicle_number END AS vehicle, CAST(TRY_CAST(CASE WHEN id % 5 = 0 THEN 'x' ELSE CAST(id AS VARCHAR) END AS DOUBLE) AS DOUBLE) AS number,
-  id % 7 <> 0 AS valid, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS flag, round(id / (site + 1e-9), 4) + 0.0 AS ratio FROM e WHERE site > 0""")
-def _(spark, d):
-    return _fallbacks(events(spark, d).where("site > 0"))
-
-
-@query("F16_F19_F55_fallbacks_and_numbers_whole", """SELECT id, CASE WHEN id % 3 = 0 THEN 'U' || vehicle_number ELSE vehicle_number END AS vehicle, CAST(TRY_CAST(CASE WHEN id % 5 = 0 THEN 'x' ELSE CAST(id AS VARCHAR) END AS DOUBLE) AS DOUBLE) AS number,
-  id % 7 <> 0 AS valid, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS flag, round(id / (site + 1e-9), 4) + 0.0 AS ratio FROM e""")
+  id % 7 <> 0 AS valid, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS flag, CASE WHEN site = 0 THEN round(id / 1e-9, 0) ELSE round(id / (site + 1e-9), 4) END + 0.0 AS ratio FROM e""")
 def _(spark, d):
     return _fallbacks(events(spark, d))
 
@@ -57,7 +51,7 @@ def _(spark, d):
 def _fallbacks(e):
     e = e.withColumn("updated", F.when(F.col("id") % 3 == 0, F.concat(F.lit("U"), "vehicle_number")).otherwise(" "))
     return e.select("id", c.first_non_blank("updated", "vehicle_number").alias("vehicle"), c.number(F.when(F.col("id") % 5 == 0, "x").otherwise(F.col("id").cast("string"))).alias("number"),
-                    c.valid_coords(F.when(F.col("id") % 7 == 0, 95.0).otherwise(F.col("latitude")), "longitude").alias("valid"), c.flag(F.when(F.col("id") % 4 == 1, None).otherwise(F.col("id") % 2 == 0)).alias("flag"), r(c.ratio("id", "site"), 4).alias("ratio"))
+                    c.valid_coords(F.when(F.col("id") % 7 == 0, 95.0).otherwise(F.col("latitude")), "longitude").alias("valid"), c.flag(F.when(F.col("id") % 4 == 1, None).otherwise(F.col("id") % 2 == 0)).alias("flag"), F.when(F.col("site") == 0, r(c.ratio("id", "site"), 0)).otherwise(r(c.ratio("id", "site"), 4)).alias("ratio"))  # a divisor of 1e-9 leaves no room for four digits
 
 
 @query("F20_F23_geometry", """WITH m AS (SELECT avg(latitude) AS la, avg(longitude) AS lo FROM e)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as c
 from sparkloom.functions import payloads
+from sparkloom.functions import tables as T
 from sparkloom.operators import aggs, cluster, dispatch, forecast, graph, joins, scoring, spatial
 from sparkloom.sources import readers
 
@@ -173,6 +174,26 @@ def test_spatial_joins_equal_all_pairs(spark):
     assert got == {i: min(range(0, len(p), 9), key=lambda j: (far(p[i], p[j]), j)) for i in range(len(p))}
 
 
+def test_nearest_skips_missing_coordinates_and_reaches_everywhere(spark):
+    points = spark.createDataFrame([(1, None, 5.0), (2, 0.0, 179.999), (3, -60.0, -100.0), (4, float("nan"), 1.0), (5, 10.0, 10.0)], "k int, lat double, lon double")
+    targets = spark.createDataFrame([(7, 0.0, -179.999), (8, 0.0, 179.0), (9, None, None), (6, 10.0, 10.0), (5, 10.0, 10.0)], "t int, lat double, lon double")
+    got = values(spatial.nearest(points, "k", targets, "t"), "k", "t")
+    assert got == {2: 7, 3: 7, 5: 5}
+    assert spatial.nearest(points, "k", targets.where("FALSE"), "t").collect() == []
+
+
+def test_source_pressure_falls_back_when_all_is_flat(spark):
+    names = [k for k in T.PRESSURE_WEIGHTS if k not in ("growth_surge", "context_boost")]
+    row = {**dict.fromkeys(names, 1.0), "growth_pct_change": -0.5, "context_multiplier": None}
+    schema = "k int, " + ", ".join(f"{k} double" for k in row)
+    flat = spark.createDataFrame([(i, *row.values()) for i in range(3)], schema)
+    assert values(scoring.source_pressure(flat), "k", "source_pressure_score") == {0: 50.0, 1: 50.0, 2: 50.0}
+    some = flat.withColumn("ccs_score", F.col("k").cast("double")).withColumn("rop", 2.0 - F.col("k"))
+    got = values(scoring.source_pressure(some), "k", "source_pressure_score")
+    # two components differ: their weighted mean over the weights that count
+    assert abs(got[0] - 100 * 0.06 / 0.31) < 1e-4 and abs(got[2] - 100 * 0.25 / 0.31) < 1e-4 and abs(got[1] - 50) < 1e-4
+
+
 def test_norms_of_constants_nulls_and_infinities(spark):
     df = spark.createDataFrame([(1, 1.0, None, 1.0), (2, 1.0, None, float("inf")), (3, 1.0, None, None), (4, 1.0, None, 5.0)], "k int, a double, b double, x double")
     out = scoring.minmax(df, ["a", "b", "x"], nulls="least").orderBy("k").collect()
