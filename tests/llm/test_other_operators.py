@@ -12,10 +12,10 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, maxent, queries, vafile, warc, weighted
+from sparkloom.llm import chat, langid, maxent, queries, toxicity, vafile, warc, weighted
 from sparkloom.llm.common import held_out, table
 
-from .test_text_operators import ODD, docs_of, thue_morse, words_of
+from .test_text_operators import ODD, brute_components, docs_of, thue_morse, words_of
 
 
 def test_maxent_probabilities_sum_to_one_and_beat_the_base(spark, sf):
@@ -364,3 +364,28 @@ def test_pipeline_stages_keep_clean_documents_and_columns(spark, sf, tmp_path):
         assert empty.columns == docs.columns and empty.count() == 0
     out = p.run(spark, sf).toPandas()
     assert set(out.columns) >= {"doc_id", "sequence_id", "offset", "length"} and 0 < out.doc_id.nunique() <= n
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
+    import corpus_pipeline as p
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = table(spark, sf, "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    toxic = toxicity.fit(docs.select("doc_id", "text", "lang"), table(spark, sf, "labels"))
+    ids = sorted(rows)
+    scores = toxic.scores(pa.array([rows[i].text for i in ids], pa.large_string()))
+    clean = [i for i, x in zip(ids, scores, strict=True) if x < 0.5]
+    filters = langid.fit(docs.where(F.col("doc_id").isin(clean)))
+    _, shares = filters.predict(pa.array([rows[i].text for i in clean], pa.large_string()))
+    known = [i for i, x in zip(clean, shares, strict=True) if x >= 0.3 and re.search(r"[^\W\d_]", rows[i].text or "")]
+    first = brute_components([(i, rows[i].text) for i in known])
+    kept = {i for i, (_, c) in first.items() if i == c}
+    got = p.run(spark, sf).toPandas()
+    assert set(got.doc_id) == kept and len(kept) > len(ids) / 2
+    peer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = got.groupby("doc_id").length.sum()
+    assert all(tokens[i] == len(peer.encode(rows[i].text or "", add_special_tokens=False).ids) + 1 for i in kept)
+    for _, part in got.sort_values("offset").groupby("sequence_id"):
+        assert (part.length.cumsum() - part.length == part.offset).all() and part.length.sum() <= 4096
