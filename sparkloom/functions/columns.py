@@ -350,9 +350,9 @@ def dispatch_action(b, tow, patrols) -> Column:
         .when((b == "Moderate") & (col(patrols) >= 2), "Scheduled patrol + peak-window checks").when(b == "Moderate", "Peak-window checks").otherwise("Routine monitoring"))
 
 
-def tow_required(score, final_band, probability, road, width, lanes, high_centrality, chronic, repeat2) -> Column:
-    """a risky place, on an arterial or narrow road, with repeat offenders. Thresholds: score 60, probability 0.5."""
-    risky = (col(score) >= 60) | col(final_band).isin("Critical", "High") | (col(probability) >= 0.5)
+def tow_required(score, final_band, probability, road, width, lanes, high_centrality, chronic, repeat2, least_score: float = 70.0) -> Column:
+    """a risky place (score at least least_score, a high band, or probability 0.5), on an arterial or narrow road, with repeat offenders."""
+    risky = (col(score) >= least_score) | col(final_band).isin("Critical", "High") | (col(probability) >= 0.5)
     arterial = F.lower(F.coalesce(col(road), F.lit("road"))).isin("motorway", "trunk", "primary", "secondary", "tertiary", "road")
     tight = arterial | (F.coalesce(col(width), F.lit(7.0)) <= 7.5) | (F.coalesce(col(lanes), F.lit(2)) <= 2) | col(high_centrality)
     return risky & tight & ((col(chronic) >= 1) | (col(repeat2) >= 3) | (col(score) >= 80))
@@ -392,3 +392,12 @@ def checks_status(ok) -> Column:
 def staffing(units) -> tuple[Column, Column]:
     """coverage and delay reduction in percent."""
     return F.least(F.lit(100.0), 42 + 5.5 * col(units)), F.least(F.lit(35.0), 3.5 + 1.8 * col(units))
+
+
+def explained(names) -> Column:
+    """the share in percent of each of several measures of a row, scaled between the row's least and greatest; equal shares where all are alike."""
+    v = F.array(*[col(n).cast("double") for n in names])
+    low, span = F.array_min(v), F.array_max(v) - F.array_min(v)
+    scaled = F.transform(v, lambda y: (y - low) / (span + t.EPS))
+    total = F.aggregate(scaled, F.lit(0.0), lambda p, q: p + q)
+    return F.when(span > 0, F.transform(scaled, lambda y: 100 * y / (total + t.EPS))).otherwise(F.array(*[F.lit(100.0 / len(names))] * len(names)))

@@ -58,3 +58,30 @@ PRIORITY_WEIGHTS = {
 DISPATCH_WEIGHTS = {"ccs_score": 0.38, "predicted_next_week_ccs_score": 0.18, "probability_of_escalation": 0.18, "growth_pct_change": 0.14, "criticality_factor": 0.12}
 PRESCRIPTIVE_WEIGHTS = {"dispatch_priority_score": 0.24, "predicted_next_week_ccs_score": 0.22, "probability_of_escalation": 0.20, "ccs_score": 0.12, "growth_pct_change": 0.10, "criticality_factor": 0.08, "offender_pressure": 0.04}
 OFFENDER_WEIGHTS = {"chronic_vehicles": 0.6, "repeat_vehicles": 0.4}
+
+# What a component counts as where no layer gives it, and the weights of persistence made from volume.
+FEATURE_DEFAULTS = {
+    "context_multiplier": 1.0, "layer_b_priority_boost": 0.0, "layer_b_alert_flag": False, "validation_uncertainty": None, "resurgence_score": None,
+    "persistence_score": None, "anomaly_score": None, "rop": None, "tvs": None, "vdi": None,
+}
+PERSISTENCE_WEIGHTS = {"records": 0.35, "distinct_days": 0.25, "repeat_vehicles": 0.25, "chronic_vehicles": 0.15}
+
+# How columns collapse to a physical place: (rule, value of a missing one) and the columns.
+COLLAPSE_RULES = {
+    ("max", None): ["ccs_score", "delay", "resurgence_score", "persistence_score", "anomaly_score", "rop", "tvs", "vdi"],
+    ("max", 0): ["distinct_days", "growth_pct_change", "layer_b_priority_boost", "spillover_out_score", "spillover_in_score", "spillover_total_score", "neighbor_count", "in_neighbor_count", "out_neighbor_count", "influence_asymmetry"],
+    ("max", 1): ["growth_multiplier", "context_multiplier"],
+    ("sum", 0): ["records", "severity_sum", "nearby_sensitive_poi_count"],
+    ("mean", 0): ["severity_mean"],
+    ("mean", None): [
+        "lat", "lon", "validation_uncertainty", "lane_count", "carriageway_width_m", "link_length_m", "junction_degree", "betweenness_centrality", "road_node_distance_m", "road_node_degree",
+        "road_node_betweenness", "source_pressure_score", "source_pressure_norm", "propagation_radius_m", "network_pagerank", "network_vulnerability_score",
+    ],
+    ("any", False): ["layer_b_alert_flag", "layer_d_alert_flag"],
+    ("top", None): ["cluster_label", "cluster_label_display", "risk_band", "road_node_id"],
+    ("top", ""): ["mappls_address"],
+    ("top", "road"): ["road_class"],
+    ("top", "fallback"): ["geometry_source"],
+    ("first", 0): ["network_component_id"],
+    ("first", 1): ["network_component_size"],
+}

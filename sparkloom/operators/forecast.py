@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
@@ -13,6 +14,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegr
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .checkpoint import cut, forget
+
 
 def temporal_split(df: DataFrame, week: str, share: float = 0.2) -> DataFrame:
     """Df with is_test: the last round(share) of the distinct weeks (one at least); with fewer than 3 weeks, one row in five by hash."""
@@ -80,29 +83,51 @@ def _calibrated(model, df: DataFrame) -> DataFrame:
 def fit(df: DataFrame, numbers: list[str], texts: list[str], target: str, label: str, trees: int = 60, depth: int = 5, forest: bool = False, seed: int = 42) -> Forecast:
     """A value and an escalation model on the rows whose target is known; the rarer label weighs more.
 
-    The probability is calibrated on held-out rows: isotonic from 200 rows on, else by a logistic curve; not at all if a
-    label has fewer than four rows there. forest: random forests instead of boosted trees.
+    The probability is calibrated on scores of models that didn't see the row: three folds by a hash, two where the rarer
+    label has under six rows, none where it has under four. Isotonic from 200 rows on, else a logistic curve. The classifier
+    itself learns from all rows. forest: random forests instead of boosted trees.
     """
     known = df.where(F.col(target).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    fold = F.pmod(F.xxhash64(*[F.col(c) for c in numbers[:3]], F.lit(seed)), F.lit(3)) == 0
     value = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed) if forest else GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
     model = Pipeline(stages=[*preparation(numbers, texts), value]).fit(known)
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0.0))).first()
     if not n or ones in (0, n):
         return Forecast(model, None, None, numbers, texts)
+    rare = min(ones, n - ones)
+    folds = 3 if rare >= 6 else 2 if rare >= 4 else 0
     weighed = known.withColumn("__w", F.when(F.col(label) == 1, float((n - ones) / ones)).otherwise(1.0))
     chance = RandomForestClassifier(labelCol=label, weightCol="__w", numTrees=trees, maxDepth=depth, seed=seed) if forest else GBTClassifier(labelCol=label, weightCol="__w", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
     pipe = Pipeline(stages=[*preparation(numbers, texts), chance])
-    part = pipe.fit(weighed.where(~fold)) if weighed.where(~fold).select(label).distinct().count() == 2 else None
-    calibration = None
-    if part is not None:
-        rest = part.transform(weighed.where(fold)).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
-        rest = VectorAssembler(inputCols=["probability"], outputCol="__p").transform(rest.select(label, "probability"))
-        k, up = rest.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0.0))).first()
-        if min(up, k - up) >= 4:
-            how = IsotonicRegression(featuresCol="__p", labelCol=label, predictionCol="__c") if k >= 200 else LogisticRegression(featuresCol="__p", labelCol=label, probabilityCol="__c", rawPredictionCol="__r", predictionCol="__d")
-            calibration = how.fit(rest)
-    return Forecast(model, pipe.fit(weighed), calibration, numbers, texts)
+    return Forecast(model, pipe.fit(weighed), _calibration(pipe, weighed, numbers, label, folds, n, seed), numbers, texts)
+
+
+def _calibration(pipe: Pipeline, weighed: DataFrame, numbers: list[str], label: str, folds: int, n: int, seed: int):
+    """The curve from out-of-fold probabilities to the label; None without folds, or where a fold's other rows have one label only."""
+    if not folds:
+        return None
+    # both labels are dealt over the folds
+    fold = F.pmod(F.xxhash64(*[F.col(c) for c in numbers], F.lit(seed)), F.lit(folds))
+    dealt = cut(weighed.withColumn("__fold", fold))
+    parts = []
+    for k in range(folds):
+        rest = dealt.where(F.col("__fold") != k)
+        if rest.select(label).distinct().count() < 2:
+            return None
+        parts.append(pipe.fit(rest).transform(dealt.where(F.col("__fold") == k)).select(label, F.get(vector_to_array("probability"), F.lit(1)).alias("probability")))
+    scored = VectorAssembler(inputCols=["probability"], outputCol="__p").transform(reduce(DataFrame.unionByName, parts))
+    how = IsotonicRegression(featuresCol="__p", labelCol=label, predictionCol="__c") if n >= 200 else LogisticRegression(featuresCol="__p", labelCol=label, probabilityCol="__c", rawPredictionCol="__r", predictionCol="__d")
+    out = how.fit(scored)
+    forget(dealt)
+    return out
+
+
+def average_precision(rows: DataFrame, score: str, label: str) -> float:
+    """The sum over distinct scores, from the highest, of precision times the gain in recall (no interpolation); 0 without positives."""
+    by = rows.groupBy(F.col(score).alias("__s")).agg(F.count("*").alias("n"), F.sum(label).alias("up"))
+    w = Window.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    # one row per distinct score
+    got = by.withColumns({"seen": F.sum("n").over(w), "hits": F.sum("up").over(w)}).agg(F.sum(F.col("up") * F.col("hits") / F.col("seen")).alias("x"), F.sum("up").alias("p")).first()
+    return got.x / got.p if got.p else 0.0
 
 
 def metrics(scored: DataFrame, target: str, label: str) -> dict[str, float]:
@@ -112,8 +137,8 @@ def metrics(scored: DataFrame, target: str, label: str) -> dict[str, float]:
     said = (F.col("probability") >= 0.5).cast("double")
     r = rows.agg(F.avg((said == F.col(label)).cast("double")).alias("acc"), F.sum(said * F.col(label)).alias("tp"), F.sum(said).alias("pp"), F.sum(label).alias("p"), F.avg(F.pow(F.col("probability") - F.col(label), 2)).alias("brier")).first()
     out |= {"accuracy": r.acc, "f1": 2 * r.tp / (r.pp + r.p) if r.pp + r.p else 0.0, "brier": r.brier}
-    e = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability")
-    return out | {"auc": e.evaluate(rows, {e.metricName: "areaUnderROC"}), "ap": e.evaluate(rows, {e.metricName: "areaUnderPR"})}
+    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability", metricName="areaUnderROC").evaluate(rows)
+    return out | {"auc": auc, "ap": average_precision(rows, "probability", label)}
 
 
 def importances(model: Forecast) -> list[tuple[int, float]]:

@@ -86,15 +86,6 @@ def quantile_bands(df: DataFrame, score: str, name: str, levels=(0.8, 0.6, 0.4),
     return wide.withColumn(name, band(score, cuts, names) if len(levels) == 3 else F.when(F.col(score) >= cuts[0], names[0]).when(F.col(score) >= cuts[1], names[1]).otherwise(names[2])).drop("__q")
 
 
-def proxy_when_flat(df: DataFrame, column: str, proxy: Column, least_median: float | None = None, least_distinct: int = 2) -> DataFrame:
-    """The proxy where the whole column is constant, or its median too small or its values too few; source tells which."""
-    wide = with_stats(df, __k=F.count_distinct(column), __m=F.median(column))
-    flat = F.col("__k") < least_distinct
-    if least_median is not None:
-        flat = flat | (F.coalesce(F.col("__m"), F.lit(0.0)) < least_median)
-    return wide.withColumns({f"{column}_source": F.when(flat, "proxy").otherwise("computed"), column: F.when(flat, proxy).otherwise(F.col(column))}).drop("__k", "__m")
-
-
 def source_pressure(df: DataFrame) -> DataFrame:
     """source_pressure_score from 12 components; if all of them are flat, the scaled ccs_score, and if that is flat too, 50."""
     surge = F.greatest(F.coalesce(F.col("growth_pct_change"), F.lit(0.0)), F.lit(0.0))

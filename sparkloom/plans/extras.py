@@ -61,15 +61,6 @@ def _(spark, d):
     return x.select("cluster_id", r(c.ratio("severity_mean", "free")).alias("ratio"), r(100 * c.ratio("days", "free"), 4).alias("delay_pct"))
 
 
-@query("F54_explained_weights", f"""WITH s AS ({_SUMMARY}), x AS (SELECT cluster_id, [CAST(records AS DOUBLE), severity_mean, CAST(vehicles AS DOUBLE)] AS v FROM s), n AS (SELECT cluster_id, list_transform(v, lambda y: (y - list_min(v)) / (list_max(v) - list_min(v) + 1e-9)) AS n FROM x)
-SELECT cluster_id, round(100 * n[1] / (list_sum(n) + 1e-9), 4) + 0.0 AS w1, round(100 * n[2] / (list_sum(n) + 1e-9), 4) + 0.0 AS w2, round(100 * n[3] / (list_sum(n) + 1e-9), 4) + 0.0 AS w3 FROM n""", "c")
-def _(spark, d):
-    x = cluster_summary(cluster_events(spark, d)).withColumn("v", F.array(F.col("records").cast("double"), "severity_mean", F.col("vehicles").cast("double")))
-    n = F.transform("v", lambda y: (y - F.array_min("v")) / (F.array_max("v") - F.array_min("v") + t.EPS))
-    x = x.withColumn("n", n).withColumn("s", F.aggregate("n", F.lit(0.0), lambda p, q: p + q))
-    return x.select("cluster_id", *(r(100 * F.get("n", F.lit(i)) / (F.col("s") + t.EPS), 4).alias(f"w{i + 1}") for i in range(3)))
-
-
 @query("J06_J07_U03_weekly_with_scores", f"SELECT cluster_id, CAST(week_start AS VARCHAR) AS week_start, n, records, n >= 5 AS busy FROM w JOIN ({_SUMMARY}) USING (cluster_id)", "w")
 def _(spark, d):
     ev = cluster_events(spark, d)
@@ -77,12 +68,6 @@ def _(spark, d):
     return out.withColumns({"busy": F.col("n") >= 5, "week_start": F.col("week_start").cast("string")}).select("cluster_id", "week_start", "n", "records", "busy")
 
 
-@query("N16_N19_repairs", f"SELECT cluster_id, CASE WHEN cluster_id % 2 = 0 THEN severity_mean ELSE 1.0 END AS severity, CASE WHEN cluster_id % 3 = 0 THEN 3 ELSE 2 END AS lanes FROM ({_SUMMARY})", "c")
-def _(spark, d):
-    x = cluster_summary(cluster_events(spark, d)).select("cluster_id", F.when(F.col("cluster_id") % 2 == 0, F.col("severity_mean")).alias("severity"), F.when(F.col("cluster_id") % 3 == 0, 3).alias("lanes"))
-    return readers.with_defaults(x, {"severity": ("double", 1.0), "lanes": ("int", 2)})
-
-
 @query("K12_robust_scaled", "WITH g AS (SELECT cluster_id, CAST(count(*) AS DOUBLE) AS n FROM c GROUP BY 1), q AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.5) AS b, quantile_cont(n, 0.75) AS z FROM g) SELECT cluster_id, round((n - b) / CASE WHEN z = a THEN 1 ELSE z - a END, 6) + 0.0 AS n FROM g, q", "c")
 def _(spark, d):
     g = cluster_events(spark, d).groupBy("cluster_id").agg(F.count("*").cast("double").alias("n"))
@@ -107,12 +92,6 @@ def _(spark, d):
     return x.orderBy(F.pow(F.col("lat") - 12.95, 2) + F.pow(F.col("lon") - 77.505, 2), "cluster_id").limit(1).select("cluster_id")
 
 
-@query("N19_persistence", f"WITH s AS ({_SUMMARY}), k AS (SELECT *, distinct_days / (max(distinct_days) OVER () + 1e-9) AS a, peak_records / (records + 1e-9) AS b FROM s) SELECT cluster_id, round(0.6 * a + 0.4 * b, 6) + 0.0 AS persistence FROM k", "c")
-def _(spark, d):
-    x = scoring.with_stats(cluster_summary(cluster_events(spark, d)), top=F.max("distinct_days"))
-    return x.select("cluster_id", r(0.6 * c.ratio("distinct_days", "top") + 0.4 * c.ratio("peak_records", "records")).alias("persistence"))
-
-
 def _streamed(spark, d, make):
     """What a stream over the events' files writes in one run, read back."""
     top, v = shared_dir(spark), violations(spark, d)

@@ -313,20 +313,14 @@ def _(spark, d):
     return x.select("cluster_id", r("score", 5).alias("score"), r("mean", 5).alias("mean"))
 
 
-@query("N14_N15_proxies", "WITH g AS (SELECT cluster_id, CAST(count(*) AS DOUBLE) AS n, avg(severity) AS s FROM c GROUP BY 1) SELECT cluster_id, round(1 + 0.5 * s, 6) + 0.0 AS flat, 'proxy' AS flat_source, n, 'computed' AS n_source FROM g", "c")
-def _(spark, d):
-    g = cluster_events(spark, d).groupBy("cluster_id").agg(F.count("*").cast("double").alias("n"), F.avg("severity").alias("s")).withColumn("flat", F.lit(0.0))
-    g = scoring.proxy_when_flat(scoring.proxy_when_flat(g, "flat", 1 + 0.5 * F.col("s"), 0.05), "n", F.lit(0.0))
-    return g.select("cluster_id", r("flat").alias("flat"), "flat_source", "n", "n_source")
-
-
 @query("N21_offender_pressure", """WITH o AS (SELECT vehicle_number, count(*) AS n, count(DISTINCT hotspot_unit) AS h, count(DISTINCT cluster_id) AS k FROM c GROUP BY 1 HAVING count(*) >= 3),
  p AS (SELECT *, ln(1 + n) * (1 + (h - (SELECT min(h) FROM o)) / ((SELECT max(h) - min(h) FROM o) + 1e-9)) * (1 + (k - (SELECT min(k) FROM o)) / ((SELECT max(k) - min(k) FROM o) + 1e-9)) AS raw FROM o)
-SELECT vehicle_number, round(100 * (raw - (SELECT min(raw) FROM p)) / ((SELECT max(raw) - min(raw) FROM p) + 1e-9), 5) + 0.0 AS score, CASE WHEN n >= 20 THEN 'Critical' WHEN n >= 10 THEN 'High' WHEN n >= 5 THEN 'Moderate' ELSE 'Watch' END AS tier FROM p""", "c")
+SELECT vehicle_number, round(100 * (raw - (SELECT min(raw) FROM p)) / ((SELECT max(raw) - min(raw) FROM p) + 1e-9), 5) + 0.0 AS score, CASE WHEN n >= 20 THEN 'Critical' WHEN n >= 10 THEN 'High' WHEN n >= 5 THEN 'Moderate' ELSE 'Watch' END AS tier,
+ CASE WHEN n >= 20 THEN 'Special watch + field verification' WHEN n >= 10 THEN 'Targeted surveillance + repeat checks' WHEN n >= 5 THEN 'Monitor vehicle pattern' ELSE 'Routine monitoring' END AS action FROM p""", "c")
 def _(spark, d):
     o = cluster_events(spark, d).groupBy("vehicle_number").agg(F.count("*").alias("n"), F.count_distinct("hotspot_unit").alias("h"), F.count_distinct("cluster_id").alias("k")).where("n >= 3")
     p = scoring.minmax(o, ["h", "k"]).withColumn("raw", F.log1p("n") * (1 + F.col("h_norm")) * (1 + F.col("k_norm")))
-    return scoring.minmax(p, ["raw"]).select("vehicle_number", r(100 * F.col("raw_norm"), 5).alias("score"), c.offender_tier("n").alias("tier"))
+    return scoring.minmax(p, ["raw"]).select("vehicle_number", r(100 * F.col("raw_norm"), 5).alias("score"), c.offender_tier("n").alias("tier"), c.action(c.offender_tier("n"), c.OFFENDER_ACTIONS).alias("action"))
 
 
 # ---- weekly features ------------------------------------------------------------------------------------------------
@@ -343,7 +337,8 @@ def weekly_features(ev: DataFrame) -> DataFrame:
     first = lambda x: F.first(x).over(w)
     g = g.withColumns({
         "lag1": F.coalesce(F.lag("pressure", 1).over(w), first("pressure")), "lag2": F.coalesce(F.lag("pressure", 2).over(w), first("pressure")), "mean4": F.avg("pressure").over(four), "std4": F.stddev_pop("pressure").over(four),
-        "slope4": F.coalesce(F.regr_slope(F.col("n").cast("double"), F.col("age").cast("double")).over(four), F.lit(0.0)), "next": F.lead("pressure").over(w), "next_n": F.lead("n").over(w),
+        "mean4_n": F.avg("n").over(four), "mean4_severity": F.avg("severity_sum").over(four), "mean4_growth": F.avg("week_growth").over(four),
+        "slope4": F.coalesce(F.regr_slope(F.col("n").cast("double"), F.col("age").cast("double")).over(four), F.lit(0.0)), "next": F.lead("pressure").over(w), "next_n": F.lead("n").over(w), "next_surge": F.lead(F.greatest(F.col("week_growth"), F.lit(0.0))).over(w),
     })
     return g.withColumns({"acceleration": F.col("mean4") - F.coalesce(F.lag("mean4").over(w), F.first("mean4").over(w)), "escalation": F.coalesce(F.col("next") >= 1.15 * F.col("pressure"), F.lit(False)).cast("int")})
 
@@ -353,14 +348,14 @@ g1 AS (SELECT *, row_number() OVER ww AS age, lag(n) OVER ww AS previous FROM g0
 g2 AS (SELECT *, coalesce((n - previous) / (previous + 1e-9), 0) AS week_growth FROM g1),
 g3 AS (SELECT *, ln(1 + n) * (1 + least(greatest(sm, 1), 5) / 5) * (1 + 0.5 * least(greatest(ps, 0), 1)) * (1 + least(greatest(n / greatest(vehicles, 1) - 1, 0), 1)) * (1 + least(greatest(week_growth, 0), 5)) AS pressure FROM g2),
 g4 AS (SELECT *, coalesce(lag(pressure, 1) OVER ww, first_value(pressure) OVER ww) AS lag1, coalesce(lag(pressure, 2) OVER ww, first_value(pressure) OVER ww) AS lag2, avg(pressure) OVER f AS mean4, stddev_pop(pressure) OVER f AS std4,
- CASE WHEN count(*) OVER f < 2 THEN 0 ELSE regr_slope(n, age) OVER f END AS slope4, lead(pressure) OVER ww AS next FROM g3 WINDOW ww AS (PARTITION BY cluster_id ORDER BY week_start), f AS (PARTITION BY cluster_id ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+ CASE WHEN count(*) OVER f < 2 THEN 0 ELSE regr_slope(n, age) OVER f END AS slope4, avg(n) OVER f AS mean4_n, avg(ss) OVER f AS mean4_severity, avg(week_growth) OVER f AS mean4_growth, lead(pressure) OVER ww AS next, lead(n) OVER ww AS next_n, lead(greatest(week_growth, 0)) OVER ww AS next_surge FROM g3 WINDOW ww AS (PARTITION BY cluster_id ORDER BY week_start), f AS (PARTITION BY cluster_id ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
 g AS (SELECT *, mean4 - coalesce(lag(mean4) OVER ww, first_value(mean4) OVER ww) AS acceleration, CASE WHEN next >= 1.15 * pressure THEN 1 ELSE 0 END AS escalation FROM g4 WINDOW ww AS (PARTITION BY cluster_id ORDER BY week_start))"""
-_WEEK_COLUMNS = ("week_growth", "pressure", "lag1", "lag2", "mean4", "std4", "slope4", "acceleration", "next")
+_WEEK_COLUMNS = ("week_growth", "pressure", "lag1", "lag2", "mean4", "std4", "slope4", "acceleration", "next", "mean4_n", "mean4_severity", "mean4_growth", "next_surge")
 
 
-@query("A41_F36_W03_W09_W14_weekly_features", f"WITH {_WEEKS} SELECT cluster_id, CAST(week_start AS VARCHAR) AS week_start, n, age, escalation, {', '.join(f'round({x}, 5) + 0.0 AS {x}' for x in _WEEK_COLUMNS)} FROM g", "c")
+@query("A41_F36_W03_W09_W14_weekly_features", f"WITH {_WEEKS} SELECT cluster_id, CAST(week_start AS VARCHAR) AS week_start, n, age, next_n, escalation, {', '.join(f'round({x}, 5) + 0.0 AS {x}' for x in _WEEK_COLUMNS)} FROM g", "c")
 def _(spark, d):
-    return weekly_features(cluster_events(spark, d)).select("cluster_id", F.col("week_start").cast("string").alias("week_start"), "n", "age", "escalation", *(r(x, 5).alias(x) for x in _WEEK_COLUMNS))
+    return weekly_features(cluster_events(spark, d)).select("cluster_id", F.col("week_start").cast("string").alias("week_start"), "n", "age", "next_n", "escalation", *(r(x, 5).alias(x) for x in _WEEK_COLUMNS))
 
 
 @query("W10_F37_F38_latest_scores", f"WITH {_WEEKS}, b AS (SELECT min(pressure) AS lo, max(pressure) AS hi FROM g WHERE next IS NOT NULL), y AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY week_start DESC) AS k FROM g), z AS (SELECT cluster_id, CASE WHEN hi - lo <= 1e-12 THEN 50 ELSE least(greatest(100 * (pressure - lo) / (hi - lo), 0), 100) END AS score FROM y, b WHERE k = 1) SELECT cluster_id, round(score, 5) + 0.0 AS score, CASE WHEN score >= 80 THEN 'Critical' WHEN score >= 60 THEN 'High' WHEN score >= 40 THEN 'Moderate' ELSE 'Watch' END AS band FROM z", "c")
@@ -504,12 +499,6 @@ def _(spark, d):
     return isolation_scores(robust_scaled(x, x.columns[1:]), "cluster_id", x.columns[1:]).select("cluster_id", r("anomaly").alias("anomaly"))
 
 
-@query("A42_collapse", """SELECT hotspot_unit, max(severity) AS top, CAST(sum(severity) AS BIGINT) AS severity_sum, round(avg(latitude), 8) + 0.0 AS lat, bool_or(peak = 1) AS any_peak, array_to_string(list_sort(list(DISTINCT cluster_id)), ',') AS ids, first(vehicle_type ORDER BY severity DESC, id) AS best_type FROM c GROUP BY 1""", "c")
-def _(spark, d):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_set("cluster_id")), lambda x: x.cast("string")), ",")
-    return cluster_events(spark, d).groupBy("hotspot_unit").agg(F.max("severity").alias("top"), F.sum("severity").alias("severity_sum"), r(F.avg("latitude"), 8).alias("lat"), F.bool_or(F.col("peak") == 1).alias("any_peak"), ids.alias("ids"), F.max_by("vehicle_type", F.struct("severity", -F.col("id"))).alias("best_type"))
-
-
 # ---- plans ----------------------------------------------------------------------------------------------------------
 
 def _scored(ev: DataFrame) -> DataFrame:
@@ -552,7 +541,7 @@ def _(spark, d):
 @query("F41_F45_plan_texts", f"""WITH {_SCORED}, b AS (SELECT *, CASE WHEN score >= 80 THEN 'Critical' WHEN score >= 60 THEN 'High' WHEN score >= 40 THEN 'Moderate' ELSE 'Watch' END AS band, cluster_id % 24 AS ph FROM so)
 SELECT cluster_id, band, lpad(CAST(greatest(ph - 1, 0) AS VARCHAR), 2, '0') || ':00-' || lpad(CAST(least(ph + 2, 24) AS VARCHAR), 2, '0') || ':00' AS span, CASE WHEN greatest(ph - 1, 0) < 12 THEN 'Morning' WHEN greatest(ph - 1, 0) < 17 THEN 'Afternoon' ELSE 'Evening' END AS shift,
  CASE WHEN ph >= 6 AND ph < 10 THEN 'Morning' WHEN ph >= 10 AND ph < 14 THEN 'Midday' WHEN ph >= 14 AND ph < 19 THEN 'Evening' ELSE 'Night' END AS shift2,
- CASE band WHEN 'Critical' THEN 'Immediate patrol deployment' WHEN 'High' THEN 'Targeted enforcement + towing readiness' WHEN 'Moderate' THEN 'Monitor and schedule peak-window checks' ELSE 'Routine monitoring' END AS action, (score >= 60) AND vehicles >= 3 AS tow FROM b""", "c")
+ CASE band WHEN 'Critical' THEN 'Immediate patrol deployment' WHEN 'High' THEN 'Targeted enforcement + towing readiness' WHEN 'Moderate' THEN 'Monitor and schedule peak-window checks' ELSE 'Routine monitoring' END AS action, (score >= 70) AND (vehicles >= 3 OR score >= 80) AS tow FROM b""", "c")
 def _(spark, d):
     x = _scored(cluster_events(spark, d)).withColumns({"band": c.band("score"), "ph": (F.col("cluster_id") % 24).cast("int")})
     tow = c.tow_required("score", F.lit("Watch"), F.lit(0.0), F.lit("service"), F.lit(7.0), F.lit(2), F.lit(False), F.lit(0), "vehicles")

@@ -1,6 +1,6 @@
 """All queries of the library over the driver's tables, and their SQL."""
 
-from . import extras, hotspots, profile, scores, services  # noqa: F401
+from . import extras, hotspots, profile, repairs, scores, services  # noqa: F401
 from .hotspots import live
 from .registry import QUERIES, SQL, events
 

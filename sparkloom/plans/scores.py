@@ -25,7 +25,7 @@ def metrics(spark, d) -> DataFrame:
     four-week means stand for the forecasts, the neighbours' influence for betweenness.
     """
     ev = cluster_events(spark, d)
-    x = ccs(ev).select("cluster_id", "ccs_score", F.col("band").alias("risk_band"), "delay", F.col("growth").alias("growth_pct_change"), F.col("multiplier").alias("growth_multiplier"), "records", "severity_sum", "distinct_days")
+    x = ccs(ev).select("cluster_id", "ccs_score", F.col("band").alias("risk_band"), "delay", F.col("growth").alias("growth_pct_change"), F.col("multiplier").alias("growth_multiplier"), "records", "severity_sum", "distinct_days", "lam")
     tr = trends(ev).select("cluster_id", "recent", "slope", "peak_ratio", F.col("volatility").alias("tvs"), F.col("resurgence").alias("resurgence_score"))
     days = ev.agg((F.date_diff(F.max("service_date"), F.min("service_date")) + 1).alias("span"))
     tags = a.entropy(ev.select("cluster_id", F.explode("tags").alias("tag")).groupBy("cluster_id", "tag").agg(F.count("*").alias("n")), "cluster_id").withColumnRenamed("diversity", "vdi")
@@ -59,7 +59,7 @@ un AS (SELECT site + 1 AS cluster_id, count(*) AS total, count(*) FILTER (status
 wk AS (SELECT cluster_id, avg(CAST(escalation AS DOUBLE)) AS probability_of_escalation, avg(mean4) AS predicted_next_week_ccs_score, max_by(pressure, week_start) AS current_week_ccs_proxy_score FROM gw GROUP BY 1),
 vh AS (SELECT cluster_id, count(*) FILTER (n >= 2) AS repeat_vehicles, count(*) FILTER (n >= 5) AS chronic_vehicles FROM (SELECT cluster_id, vehicle_number, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
 ou AS (SELECT src AS cluster_id, sum(weight) AS x, count(DISTINCT dst) AS degree FROM ed GROUP BY 1), inn AS (SELECT dst AS cluster_id, sum(weight) AS y FROM ed GROUP BY 1),
-m0 AS (SELECT cluster_id, ccs_score, band AS risk_band, greatest(delay, 0) AS delay, cc.growth AS growth_pct_change, cc.multiplier AS growth_multiplier, records, severity_sum, tr.recent, tr.slope, tr.peak_ratio, tr.volatility AS tvs, tr.resurgence AS resurgence_score, coalesce(vdi, 0) AS vdi,
+m0 AS (SELECT cluster_id, ccs_score, band AS risk_band, greatest(delay, 0) AS delay, cc.growth AS growth_pct_change, cc.multiplier AS growth_multiplier, records, severity_sum, distinct_days, lam, tr.recent, tr.slope, tr.peak_ratio, tr.volatility AS tvs, tr.resurgence AS resurgence_score, coalesce(vdi, 0) AS vdi,
  least(greatest(1 - (present / (total + 1e-9)) * coalesce(ok / (nullif(present, 0) + 1e-9), 0), 0), 1) AS validation_uncertainty, probability_of_escalation, predicted_next_week_ccs_score, current_week_ccs_proxy_score, repeat_vehicles, chronic_vehicles, coalesce(x, 0) AS spillover_out_score, coalesce(y, 0) AS spillover_in_score,
  coalesce(x, 0) + coalesce(y, 0) AS spillover_total_score, coalesce(y, 0) AS road_node_betweenness, coalesce(degree, 0) AS degree, distinct_days / ((SELECT date_diff('day', min(service_date), max(service_date)) + 1 FROM c) + 1e-9) AS rop, distinct_days / ((SELECT date_diff('day', min(service_date), max(service_date)) + 1 FROM c) + 1e-9) AS persistence_score
  FROM cc JOIN tr USING (cluster_id) LEFT JOIN vd USING (cluster_id) LEFT JOIN un USING (cluster_id) JOIN wk USING (cluster_id) JOIN vh USING (cluster_id) LEFT JOIN ou USING (cluster_id) LEFT JOIN inn USING (cluster_id)),

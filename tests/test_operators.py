@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import columns as c
 from sparkloom.functions import payloads
 from sparkloom.functions import tables as T
-from sparkloom.operators import aggs, cluster, dispatch, forecast, graph, joins, scoring, spatial
+from sparkloom.operators import aggs, cluster, dispatch, forecast, graph, joins, repairs, scoring, spatial
 from sparkloom.sources import readers
 
 
@@ -271,3 +271,67 @@ def test_joins(spark):
     assert [tuple(r) for r in joins.fill_from(left, right, "k").orderBy("k").collect()] == [("a", 9, 1, 7), ("b", 5, None, None)]
     both = joins.union_first([left.select("k", "x"), right.select("k", "z")], "k")
     assert both.count() == 2
+
+
+def test_average_precision_by_brute_force(spark):
+    rows = [(0.9, 1.0), (0.9, 0.0), (0.7, 1.0), (0.4, 0.0), (0.4, 1.0), (0.1, 0.0)]
+    want, hit = 0.0, 0.0
+    for s in sorted({s for s, _ in rows}, reverse=True):
+        above = [u for v, u in rows if v >= s]
+        want += sum(above) / len(above) * (sum(above) - hit) / 3
+        hit = sum(above)
+    df = spark.createDataFrame(rows, "s double, u double")
+    assert forecast.average_precision(df, "s", "u") == pytest.approx(want)
+    assert forecast.average_precision(df.where("u = 0"), "s", "u") == 0.0 == forecast.average_precision(df.where("false"), "s", "u")
+
+
+def test_repairs_of_an_empty_table_and_of_nulls(spark):
+    kinds = "cluster_id long, records long, vehicles long, severity_sum double, severity_mean double, peak_records long, distinct_days long, lam double, mu double, dwell double, load double, lanes double, carriageway double, road string, base double, loss double, reduced double, delay double, degree double, centrality double"
+    bare = tuple([1, 4, 2] + [None] * 17)
+    df = spark.createDataFrame([bare], kinds)
+    assert repairs.criticality(repairs.repaired(df.where("false"))).count() == 0
+    one = repairs.criticality(repairs.repaired(df)).first()
+    assert (one.lanes, one.carriageway, one.base, one.loss, one.reduced, one.delay, one.criticality_factor) == (None, None, 1600.0, 0.0, 1600.0, 2.0, 1.0)
+
+
+def test_collapse_takes_each_column_by_its_rule(spark):
+    df = spark.createDataFrame([("a", 10, 5.0, 1.0, 2.0, "x", None, 1), ("a", 2, 5.0, 1.0, 3.0, "y", "p", 7), ("b", 3, None, None, None, None, None, None)], "place string, cluster_id long, ccs_score double, delay double, records double, risk_band string, road_class string, network_component_id int")
+    got = {x.place: x for x in repairs.collapse(df, "place").collect()}
+    assert (got["a"].merged_ids, got["a"].cluster_id, got["a"].records, got["a"].risk_band, got["a"].road_class, got["a"].network_component_id) == ("10|2", 2, 5.0, "y", "p", 7)
+    assert (got["b"].records, got["b"].road_class, got["b"].network_component_id) == (0.0, "road", 0)
+    assert repairs.collapse(df.where("false"), "place").count() == 0
+
+
+def test_answers_of_a_service(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from sparkloom.sources import http
+
+    asked: list[str] = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            code = 204 if "empty" in self.path else 500 if "broken" in self.path or "late" in self.path and asked.count(self.path) < 3 else 200
+            self.send_response(code)
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(b"no json" if "text" in self.path else b'{"ok": 1}')
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    df = spark.createDataFrame([("late",), ("text",), ("empty",), ("broken",), (None,), ("a b/c",)], "q string")
+    got = {x.q: x for x in http.fetch(df, [base + "/one/{q}"], retries=2, backoff=0.0).collect()}
+    assert (got["late"].payload, got["late"].status, got["late"].endpoint) == ('{"ok": 1}', 200, 0)
+    assert got["text"].payload == '{"_raw_text": "no json"}' and (got["empty"].payload, got["empty"].status, got["empty"].error) == (None, 204, "")
+    assert got["broken"].payload is None and got["broken"].status == 500 and got["broken"].error and asked.count("/one/broken") == 3
+    assert "/one/" in asked and "/one/a%20b%2Fc" in asked
+    second = {x.q: x for x in http.fetch(df, [base + "/broken/{q}", base + "/two/{q}"], retries=0, backoff=0.0).collect()}
+    assert second["late"].status == 500 and (second["text"].endpoint, second["text"].status) == (1, 200)
+    assert http.fetch(df.where("false"), [base], retries=0).count() == 0
+    server.shutdown()
