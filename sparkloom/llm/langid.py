@@ -2,11 +2,13 @@
 
 Every language has a Bloom filter of its byte n-grams. The filters are bit-sliced: slot i holds one 64-bit word whose bit l
 is slot i of language l, so one look-up per hash function, and one AND of the words, gives all languages that contain an
-n-gram. The languages' bit counts over a text, corrected for the filters' false positives, decide.
+n-gram; every further 64 languages add a word to each slot. The languages' bit counts over a text, corrected for the filters'
+false positives, decide.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,7 +53,7 @@ def grams(column) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """slots: uint64 per slot, bit l for languages[l]. hashes: look-ups per n-gram. false: false-positive rate by language."""
+    """slots: uint64 by word and slot, bit l of word w for languages[64 * w + l]. hashes: look-ups per n-gram. false: false-positive rate by language."""
 
     languages: list[str]
     slots: np.ndarray
@@ -61,27 +63,25 @@ class LanguageFilters:
     @classmethod
     def build(cls, by_language: dict[str, np.ndarray], bits: int = 19, hashes: int = 2) -> LanguageFilters:
         languages = sorted(by_language)
-        if len(languages) > 64:
-            raise ValueError(f"{len(languages)} languages; a slot has 64 bits")
-        self = cls(languages, np.zeros(1 << bits, np.uint64), hashes, np.zeros(len(languages)))
+        self = cls(languages, np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), np.uint64), hashes, np.zeros(len(languages)))
         for at, name in enumerate(languages):
             for place in self._places(by_language[name].astype(np.uint32)):
-                self.slots[place] |= np.uint64(1 << at)
+                self.slots[at // 64, place] |= np.uint64(1 << at % 64)
         for at in range(len(languages)):
-            self.false[at] = ((self.slots >> np.uint64(at)) & np.uint64(1)).mean() ** hashes
+            self.false[at] = ((self.slots[at // 64] >> np.uint64(at % 64)) & np.uint64(1)).mean() ** hashes
         return self
 
     def _places(self, codes: np.ndarray):
-        shift = np.uint64(64 - (len(self.slots).bit_length() - 1))
+        shift = np.uint64(64 - (self.slots.shape[1].bit_length() - 1))
         wide = codes.astype(np.uint64)
         for k in range(self.hashes):
             yield (wide * _MULTIPLIERS[k]) >> shift
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        """For each n-gram the bits of all languages that contain it (and, rarely, of others)."""
+    def masks(self, codes: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the bits of all of a word's languages that contain it (and, rarely, of others)."""
         out = None
         for place in self._places(codes):
-            got = self.slots[place]
+            got = self.slots[word][place]
             out = got if out is None else np.bitwise_and(out, got, out=out)
         return out
 
@@ -92,9 +92,10 @@ class LanguageFilters:
         out = np.zeros((len(counts), len(self.languages)))
         full = np.flatnonzero(counts > 0)
         if len(full) and self.languages:
-            masks = self.masks(codes)
             for at in range(len(self.languages)):
-                hits = np.add.reduceat((masks >> np.uint64(at)).astype(np.uint8) & 1, first[:-1][full], dtype=np.int64)
+                if at % 64 == 0:
+                    masks = self.masks(codes, at // 64)
+                hits = np.add.reduceat((masks >> np.uint64(at % 64)).astype(np.uint8) & 1, first[:-1][full], dtype=np.int64)
                 out[full, at] = hits / counts[full]
         return np.clip((out - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
 
@@ -107,15 +108,30 @@ class LanguageFilters:
         return best, shares[np.arange(len(best)), best]
 
 
+def _even_shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """The share of each language's rows to read, so that all get equally many, about sample together."""
+    out, left = {}, sample
+    for at, name in enumerate(sorted(counts, key=lambda k: (counts[k], k))):
+        take = min(counts[name], left / (len(counts) - at))
+        out[name] = take / counts[name]
+        left -= take
+    return out
+
+
 def fit(docs: DataFrame, sample: int = 12_000, least: int = 3, relative: float = 0.02, bits: int = 19, hashes: int = 2) -> LanguageFilters:
     """Learns filters from text and non-null lang of documents that are not held out.
 
-    A bounded sample of at most about sample documents, chosen by a hash of doc_id from all, is read. A language contains an
-    n-gram that occurs least times in it, and at no less than relative times the rate of the language where it is commonest.
+    About sample documents are read: every language gets an equal part, and what a language is too small to use goes to the
+    others, so a rare language is learned whole however large the table is. They are chosen by a hash of doc_id from all. A
+    language contains an n-gram that occurs least times in it, and at no less than relative times the rate of the language
+    where it is commonest.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    total = known.count()
-    part = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(total, 1))))
+    counts = known.groupBy("lang").count().toPandas()  # one row per language
+    limit = F.lit(0)
+    if shares := _even_shares(dict(zip(counts["lang"], counts["count"], strict=True)), sample):
+        limit = F.coalesce(F.element_at(F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(math.ceil((1 << 40) * v)).cast("long"))]), F.col("lang")), F.lit(0))
+    part = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)) < limit)
 
     def count(batches):
         for batch in pieces(batches):

@@ -214,6 +214,24 @@ def test_language_filters_have_no_false_negatives_and_correct_false_positives():
     assert abs(rate - f.false[1]) < 0.3 * f.false[1] + 1e-3
 
 
+def test_language_filters_of_more_languages_than_a_word_has_bits():
+    r = np.random.default_rng(2)
+    words = {f"l{i:03d}": ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(40)] for i in range(150)}
+    f = langid.LanguageFilters.build({k: langid.grams(pa.array(w))[0] for k, w in words.items()}, bits=17)
+    assert f.slots.shape == (3, 1 << 17)
+    best, share = f.predict(pa.array([" ".join(w[:5]) for w in words.values()]))
+    assert [f.languages[b] for b in best] == list(words) and (share > 0.5).all()
+
+
+def test_language_sample_is_even_over_languages(spark):
+    shares = langid._even_shares({"a": 1_000_000, "b": 1_000_000, "c": 10}, 1_000)
+    assert shares["c"] == 1 and shares["a"] == shares["b"] == 495 / 1_000_000
+    assert langid._even_shares({}, 5) == {} and langid._even_shares({"a": 3}, 5) == {"a": 1}
+    texts = ["the cat and the dog are here"] * 400 + ["le chat et le chien sont ici"] * 12
+    docs = docs_of(spark, texts, ["en"] * 400 + ["fr"] * 12)
+    assert langid.fit(docs, sample=40).languages == ["en", "fr"]
+
+
 def test_language_of_odd_rows(spark):
     texts = ["the cat and the dog are here"] * 30 + ["le chat et le chien sont ici"] * 30 + ODD + ["12 34 !!", "le chien", "THE DOG"]
     langs = ["en"] * 30 + ["fr"] * 30 + [None] * (len(ODD) + 3)
