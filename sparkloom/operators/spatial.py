@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,96 @@ def near_pairs(df: DataFrame, key: str, x: str = "x", y: str = "y", radius: floa
     return left.join(right, "cell").where(near).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"))
 
 
+def near_counts(df: DataFrame, key: str, x: str = "x", y: str = "y", radius: float = 150.0, time: str | None = None, days: float = 3.0, most: int = 250_000) -> DataFrame:
+    """A, n: how many rows near_pairs gives each key, counted without making the pairs, whose number grows with the square.
+
+    Rows of one place and time are one spot with a weight. Spots meet in cells four radii wide and four time bands long, where
+    near_weights() counts whole boxes of places at once. A cell of more than `most` spots is dealt to parts of about so many,
+    and each part of those that ask meets each part of those that are met: no group is larger, and the counts add up.
+    """
+    rows = df.select(F.col(key).alias("a"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(time).cast("double") if time else F.lit(0.0)).alias("t"))
+    rows = cut(rows)  # means that are summed in another order would give other places
+    known = rows
+    for c in "xyt":  # missing, NaN and infinite values are near nothing
+        known = known.where(F.abs(c) < float("inf"))
+    spots = known.groupBy("x", "y", "t").agg(F.count("*").alias("w"))
+    met, own, cell = spots, F.lit(True), ["cx", "cy", "ct"]
+    for c, reach, size in (("x", radius, 4 * radius), ("y", radius, 4 * radius), ("t", days, 4 * days)):
+        at = lambda v, size=size: F.floor(v / size).cast("long")
+        far = F.lit(reach * 1.000001) + F.abs(c) * 1e-12  # wider than rounding
+        met = met.withColumn(f"c{c}", F.explode(F.sequence(at(F.col(c) - far), at(F.col(c) + far))))
+        own = own & (F.col(f"c{c}") == at(F.col(c)))
+    met = met.withColumn("own", own)
+    parts = lambda n: F.greatest(F.ceil(n / most), F.lit(1)).cast("int")
+    large = met.groupBy(cell).agg(F.count_if("own").alias("asks"), F.count("*").alias("n")).where(F.col("n") > most)
+    met = met.join(F.broadcast(large.select(*cell, parts(F.col("asks")).alias("p"), parts(F.col("n")).alias("q"))), cell, "left").fillna(1, ["p", "q"])
+    part = lambda n: F.pmod(F.xxhash64("x", "y", "t"), F.col(n)).cast("int")
+    # a spot goes to its row of parts (i) if it asks, and to its column of parts (j) to be met
+    role = lambda i, j: F.struct(i.alias("i"), j.alias("j"), (F.col("own") & (i == part("p"))).alias("asks"), (j == part("q")).alias("met"))
+    column = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: role(i, part("q")))
+    row = F.transform(F.filter(F.sequence(F.lit(0), F.col("q") - 1), lambda j: j != part("q")), lambda j: role(part("p"), j))
+    to = F.when((F.col("p") == 1) & (F.col("q") == 1), F.array(role(F.lit(0), F.lit(0)))).when(F.col("own"), F.concat(column, row)).otherwise(column)
+    dealt = met.select(*cell, "x", "y", "t", "w", F.inline(to))
+
+    def one(group: pa.Table) -> pa.Table:
+        group = group.select(["x", "y", "t", "w", "asks", "met"]).sort_by("t")
+        a, b = ({c: group[c].to_numpy()[group[to].to_numpy()] for c in "xytw"} for to in ("asks", "met"))
+        times, rank = np.unique(b["t"], return_inverse=True)
+        low, high = time_ranks(a["t"], times, days)
+        n = near_weights(a["x"], a["y"], low, high, b["x"], b["y"], rank, b["w"], radius * radius)
+        return pa.table({"x": a["x"], "y": a["y"], "t": a["t"], "n": n})
+
+    counted = dealt.groupBy(*cell, "i", "j").applyInArrow(one, "x double, y double, t double, n long")
+    return rows.join(counted.groupBy("x", "y", "t").agg(F.sum("n").alias("n")), ["x", "y", "t"]).groupBy("a").agg(F.sum("n").alias("n"))
+
+
+def time_ranks(at: np.ndarray, times: np.ndarray, days: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of at, begin and end of the times (sorted, distinct) with |at - time| <= days, as that comparison rounds."""
+    low, high = np.searchsorted(times, at - days, "left"), np.searchsorted(times, at + days, "right")
+    padded = np.concatenate([[-np.inf], times, [np.inf]])
+    near = lambda i: np.abs(at - padded[i + 1]) <= days
+    while (m := near(low - 1)).any():
+        low = low - m
+    while (m := (low < high) & ~near(low)).any():
+        low = low + m
+    while (m := near(high)).any():
+        high = high + m
+    while (m := (low < high) & ~near(high - 1)).any():
+        high = high - m
+    return low, high
+
+
+def near_weights(ax, ay, low, high, bx, by, rank, weight, limit: float, leaf: int = 16) -> np.ndarray:
+    """For each point a, the weight of the points b with dx * dx + dy * dy <= limit and low <= rank < high; b sorted by rank.
+
+    Boxes of points a are halved. Points b that are near all of a box are counted by their ranks and points b that are near
+    none are left out, so only those near its border go on to its halves. Rounding keeps the order of distances, so the bounds
+    of a box tell the same as each of its points.
+    """
+    out = np.zeros(len(ax), np.int64)
+    todo = [(np.arange(len(ax)), bx, by, rank, weight)] if len(ax) else []
+    while todo:
+        a, bx, by, rank, weight = todo.pop()
+        x, y = ax[a], ay[a]
+        x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
+        whole = np.maximum(x1 - bx, bx - x0) ** 2 + np.maximum(y1 - by, by - y0) ** 2 <= limit
+        total, ranks = np.concatenate([[0], np.cumsum(weight[whole])]), rank[whole]
+        out[a] += total[np.searchsorted(ranks, high[a])] - total[np.searchsorted(ranks, low[a])]
+        some = ~whole & (np.maximum(np.maximum(x0 - bx, bx - x1), 0) ** 2 + np.maximum(np.maximum(y0 - by, by - y1), 0) ** 2 <= limit)
+        if not some.any():
+            continue
+        bx, by, rank, weight = bx[some], by[some], rank[some], weight[some]
+        if len(a) <= leaf:
+            near = ((x[:, None] - bx) ** 2 + (y[:, None] - by) ** 2 <= limit) & (rank >= low[a, None]) & (rank < high[a, None])
+            out[a] += near @ weight
+            continue
+        side = x if x1 - x0 >= y1 - y0 else y
+        middle = np.partition(side, len(side) // 2)[len(side) // 2]
+        left = side < middle if middle > side.min() else side <= middle
+        todo += [(a[left], bx, by, rank, weight), (a[~left], bx, by, rank, weight)]
+    return out
+
+
 def within(df: DataFrame, key: str, lat: str, lon: str, radius_m: float) -> DataFrame:
     """Pairs a < b of rows with 0 < distance_m <= radius_m on the sphere. Cells in degrees; east-west widened by latitude."""
     size = math.degrees(radius_m / 6371000.0) * 1.0000001

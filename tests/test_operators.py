@@ -174,6 +174,46 @@ def test_spatial_joins_equal_all_pairs(spark):
     assert got == {i: min(range(0, len(p), 9), key=lambda j: (far(p[i], p[j]), j)) for i in range(len(p))}
 
 
+@pytest.mark.parametrize("most", [250_000, 40])
+def test_near_counts_equal_all_pairs(spark, most):
+    r = np.random.default_rng(6)
+    free = [(float(x), float(y), float(t)) for x, y, t in r.uniform((-400, -400, 19700), (400, 400, 19712), (250, 3))]
+    # copies, a grid where distances and days are the limits themselves, and cells' borders
+    grid = [(30.0 * (i % 11), 40.0 * (i % 7) - 120, 19704 + 1.5 * (i % 9)) for i in range(150)]
+    odd = [(600.0, 0.0, 19704.0), (450.0, 0.0, 19701.0), (750.0, -0.0, 19707.0), (None, 0.0, 19704.0), (0.0, float("nan"), 19704.0), (0.0, 0.0, float("inf")), (0.0, 0.0, None), (1e9, 0.0, 19704.0)]
+    rows = [(i // 2 if i < 20 else i, *p) for i, p in enumerate(free + grid + odd)]
+    df = spark.createDataFrame([*rows, (None, 0.0, 0.0, 19704.0)], "k int, x double, y double, t double")
+    near = lambda p, q: None not in p and None not in q and (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 22500 and abs(p[2] - q[2]) <= 3
+    want: dict = {}
+    for k, *p in [*rows, (None, 0.0, 0.0, 19704.0)]:
+        n = near(p, p) and sum(near(p, q) for _, *q in [*rows, (None, 0.0, 0.0, 19704.0)])
+        if n:
+            want[k] = want.get(k, 0) + n
+    assert values(spatial.near_counts(df, "k", time="t", most=most), "a", "n") == want
+    flat = values(spatial.near_counts(df.drop("t"), "k", most=most), "a", "n")
+    assert flat == values(spatial.near_pairs(df.drop("t"), "k").groupBy("a").agg(F.count("*").alias("n")), "a", "n")
+
+
+def test_near_counts_make_no_pairs(spark):
+    p = "CASE WHEN id % 2 = 0 THEN id % 997 ELSE 0 END"
+    df = spark.range(300_000).selectExpr("id AS k", f"0.05 * ({p}) AS x", f"0.03 * ({p}) AS y", "19700 + id / 1e6 AS t")  # 9e10 pairs
+    got = spatial.near_counts(df, "k", time="t").agg(F.min("n"), F.max("n"), F.count("*")).first()
+    assert tuple(got) == (300_000,) * 3
+
+
+@pytest.mark.parametrize("leaf", [1, 16])
+def test_near_weights_and_ranks_at_the_limits(leaf):
+    r = np.random.default_rng(7)
+    at, times = np.array([3.0, 3.0 - 2**-51, 0.0, 5.5, 9.0, 20.0]), np.unique(np.concatenate([[0.0, 2.0**-52, 3.0, 6.0, 8.5], r.uniform(0, 12, 40)]))
+    low, high = spatial.time_ranks(at, times, 3.0)
+    assert [set(range(a, b)) for a, b in zip(low, high, strict=True)] == [set(np.flatnonzero(np.abs(v - times) <= 3.0)) for v in at]
+    a, b, rank, weight = r.integers(-40, 40, (300, 2)) * 10.0, r.integers(-40, 40, (400, 2)) * 10.0, np.sort(r.integers(0, 50, 400)), r.integers(1, 5, 400)
+    low = r.integers(0, 50, 300)
+    got = spatial.near_weights(*a.T, low, low + 20, *b.T, rank, weight, 22500.0, leaf=leaf)
+    near = (((a[:, None] - b) ** 2).sum(2) <= 22500.0) & (rank >= low[:, None]) & (rank < low[:, None] + 20)
+    assert got.tolist() == (near * weight).sum(1).tolist() and got.max() > 20
+
+
 def test_nearest_skips_missing_coordinates_and_reaches_everywhere(spark):
     points = spark.createDataFrame([(1, None, 5.0), (2, 0.0, 179.999), (3, -60.0, -100.0), (4, float("nan"), 1.0), (5, 10.0, 10.0)], "k int, lat double, lon double")
     targets = spark.createDataFrame([(7, 0.0, -179.999), (8, 0.0, 179.0), (9, None, None), (6, 10.0, 10.0), (5, 10.0, 10.0)], "t int, lat double, lon double")
